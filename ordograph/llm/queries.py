@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ordograph.llm import line_chunks, mixing, ngram_join, packing, quality
+from ordograph.llm import learned_partitions, licences, line_chunks, mixing, ngram_join, packing, pii, quality, spotsigs, substrings
 from ordograph.llm.common import table
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -16,6 +20,19 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -31,6 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -38,8 +59,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op3_temperature_mixing, op7_mixture_packing, op8_line_chunks, op9_quality, pipeline)}
+    ops = (
+        op1_learned_partitions, op2_ngram_join, op3_temperature_mixing, op4_licences, op5_private_data, op6_recompression,
+        op7_mixture_packing, op8_line_chunks, op9_quality, op10_spotsigs, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_chunks": line_chunks.ORACLE}
+    return {"op4_licences": licences.oracle(), "op6_recompression": substrings.ORACLE, "op8_line_chunks": line_chunks.ORACLE}
