@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ordograph.llm.common import written
 
 K = 10
-#: Most sample vectors; fewest of them for each partition; most partitions; partitions that a query visits.
-SAMPLE, EACH, MOST_PARTITIONS, VISITS = 4096, 96, 32, 10
+#: Most sample vectors; fewest of them for each partition; most partitions; neighbours that a target counts.
+SAMPLE, EACH, MOST_PARTITIONS, COUNTED = 4096, 96, 32, 30
+#: Share of sample vectors held back; share of their neighbours that the partitions a query visits must hold.
+HELD_BACK, RECALL = 8, 0.95
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -42,7 +44,8 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for at in range(0, len(x), 512):
         d = norms[None, :] - 2 * x[at : at + 512] @ x.T
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+        part = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out.append(np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, axis=1), axis=1), axis=1))
     return np.concatenate(out)
 
 
@@ -85,7 +88,7 @@ def balanced_partition(near: np.ndarray, parts: int, seed: int = 3) -> np.ndarra
     return out
 
 
-def train(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 40, seed: int = 5) -> dict:
+def train(x: np.ndarray, target: np.ndarray, hidden: int = 64, epochs: int = 15, seed: int = 5) -> dict:
     """A network with one hidden layer, by Adam on cross entropy with soft targets."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std() + 1e-12
@@ -114,14 +117,23 @@ def logits(net: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray) -> dict:
+    """The network, and how many partitions a query visits: as few as hold RECALL of the neighbours of the sample
+    vectors held back, which played no part in the fit."""
     parts = int(min(MOST_PARTITIONS, len(sample) // EACH))
     if parts < 2:
-        return {"parts": 1}
-    near = neighbour_graph(sample, min(K, len(sample) - 1))
-    part = balanced_partition(near, parts)
-    target = np.zeros((len(sample), parts))
-    np.add.at(target, (np.repeat(np.arange(len(sample)), near.shape[1] + 1), part[np.column_stack([np.arange(len(sample)), near])].ravel()), 1)
-    return {"parts": parts} | train(sample, target / target.sum(axis=1, keepdims=True))
+        return {"parts": 1, "visits": 1}
+    back = np.arange(len(sample)) % HELD_BACK == 0
+    own, held = sample[~back], sample[back]
+    near = neighbour_graph(own, min(COUNTED, len(own) - 1))
+    part = balanced_partition(near[:, :K], parts)
+    target = np.zeros((len(own), parts))
+    np.add.at(target, (np.repeat(np.arange(len(own)), near.shape[1] + 1), part[np.column_stack([np.arange(len(own)), near])].ravel()), 1)
+    net = {"parts": parts} | train(own, target / target.sum(axis=1, keepdims=True))
+    d = (own * own).sum(axis=1)[None, :] - 2 * held @ own.T
+    true = np.argpartition(d, K - 1, axis=1)[:, :K]
+    place, turn = logits(net, own).argmax(axis=1), np.argsort(np.argsort(-logits(net, held), axis=1), axis=1)
+    turns = np.bincount(np.take_along_axis(turn, place[true], axis=1).ravel(), minlength=parts)
+    return net | {"visits": int(np.searchsorted(np.cumsum(turns) / turns.sum(), RECALL)) + 1}
 
 
 def _ordered(net: dict, x: np.ndarray, most: int) -> np.ndarray:
@@ -159,7 +171,7 @@ def _compare(k: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame | None = None, every: int = 100, k: int = K, visits: int = VISITS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame | None = None, every: int = 100, k: int = K, visits: int | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries (by default rows whose id is divisible by `every`)
     the k nearest other rows found, by Euclidean distance, ties to smaller ids."""
     plain = usable(rows, vec_id, vector)
@@ -169,6 +181,7 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, every: int = 100,
     kinds = written(plain.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("x").agg(F.collect_set("vec_id").alias("ids")), "vectors")
     sample = kinds.select(F.array_min("ids").alias("id"), "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     net = fit(_matrix(sample["x"].combine_chunks()) if sample.num_rows else np.zeros((0, 1)))
+    visits = visits or net["visits"]
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(net)  # SAMPLE and MOST_PARTITIONS bound it
 
