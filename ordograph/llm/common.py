@@ -2,35 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from ordograph.plans.storage import running_totals, table, written
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="ordograph-")
-    return _own_folders[app]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and lost executors cost only a reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ordograph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["components", "running_totals", "table", "written"]
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -51,22 +27,3 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if step.filter("root <> was").isEmpty():
             return step.select("node", "root")
         now = step.select("node", "root")
-
-
-def running_totals(df: DataFrame, order: list[str], value: str, out: str, rows_each: int = 20_000) -> DataFrame:
-    """df with `out`: the sum of `value` over all rows before this one by `order`, which must be unique.
-
-    Rows are dealt into ranges of `order`; each range is summed, the sums of ranges (one row each) are added up, and
-    a window inside a range does the rest, so that no task sees more than a range.
-    """
-    spark = df.sparkSession
-    n = max(1, min(4096, -(-df.count() // rows_each)))
-    ranged = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    each = ranged.groupBy("_range").agg(F.sum(value).alias("_sum")).orderBy("_range").collect()  # one row a range: 4096 at most
-    base, total = [], 0
-    for r in each:
-        base.append((r["_range"], total))
-        total += r["_sum"] or 0
-    bases = spark.createDataFrame(base or [(0, 0)], "_range int, _base long")
-    within = F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return ranged.join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.coalesce(within, F.lit(0))).drop("_range", "_base")
