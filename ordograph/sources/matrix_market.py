@@ -9,10 +9,10 @@ from ordograph.plans.storage import numbered
 
 def lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, instance, kind, ord, line): lines of each file, from 0; kind is the parent directory's name."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = F.split("path", "/")
     return whole.select("path", F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("instance"), F.element_at(parts, -2).alias("kind"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
 
