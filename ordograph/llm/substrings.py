@@ -31,6 +31,8 @@ from ordograph.llm.common import written
 from ordograph.llm.ngram_join import mixed, word_hashes
 
 WINDOW, ROUNDS, REACH = 50, 4, 17
+#: Texts whose words a task holds at once.
+SLICE = 800
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FAR = 1 << 40
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1342543DE82EF95)
@@ -47,23 +49,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def _sums(words: np.ndarray, base: np.uint64, power: np.ndarray) -> np.ndarray:
-    """Running polynomial sums: content of words [s, e) is (S[e] - S[s]) / base ** s, here times base ** (n - s)."""
-    out = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * power[: len(words)], out=out[1:])
-    return out
-
-
 class Content:
-    """Hashes of any stretches of a word sequence, independent of where they stand."""
+    """Hashes of any stretches of a word sequence, independent of where they stand and of what else is there."""
 
     def __init__(self, words: np.ndarray):
-        self.power = _powers(_B1, len(words) + 1), _powers(_B2, len(words) + 1)
-        self.sums = _sums(words, _B1, self.power[0]), _sums(mixed(words + np.uint64(7)), _B2, self.power[1])
+        self.sums, self.back = [], []
+        for base, x in ((_B1, words), (_B2, mixed(words + np.uint64(7)))):
+            total = np.zeros(len(words) + 1, dtype=np.uint64)
+            np.cumsum(x * _powers(base, len(words) + 1)[:-1], out=total[1:])
+            self.sums.append(total)
+            self.back.append(_powers(np.uint64(pow(int(base), -1, 1 << 64)), len(words) + 1))
 
     def of(self, k: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        n = len(self.power[k]) - 1
-        return mixed((self.sums[k][e] - self.sums[k][s]) * self.power[k][n - s])
+        return mixed((self.sums[k][e] - self.sums[k][s]) * self.back[k][s])
 
 
 def boundaries(words: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -168,8 +166,8 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions; of equal ones in a batch only the smallest document's are left to compare with others (not done)."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
             words, begin, ends = _flat(b)
             key, region, s, n = regions(words, ends)
             doc = np.searchsorted(ends, s, side="right")
