@@ -52,7 +52,7 @@ def _words(text):
 
 def _bigrams(words):
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return hashed, lambda h: F.array_distinct(F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b)))
+    return hashed, lambda h: F.array_distinct(F.zip_with(F.slice(h, F.lit(1), F.greatest(F.lit(0), F.size(h) - 1)), F.slice(h, F.lit(2), F.greatest(F.lit(0), F.size(h) - 1)), lambda a, b: F.xxhash64(a, b)))
 
 
 def _with_bigrams(df: DataFrame, text: str) -> DataFrame:

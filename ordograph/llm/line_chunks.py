@@ -6,7 +6,7 @@ with letters or digits that occurs more than once, the place with the smallest (
 Hashes only find candidates: places are grouped by the chunk's own bytes.
 
 A null text counts as empty (one empty line). Rows that share a doc_id count as one document, so a chunk's first
-place stays in each of them; a null doc_id is never first and its chunks are never removed. Extra columns stay.
+place stays in each of them; a null doc_id is never first and its chunks are never removed. Extra columns stay, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -46,15 +46,15 @@ def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
 
 def without_repeats(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """docs with `text` less its repeated chunks, plus n_lines and n_removed."""
-    gone = repeated(docs, spread).select(F.col("doc_id").alias("_id"), "gone")
+    gone = repeated(docs, spread).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("gone", lambda r: (i >= r["s"]) & (i <= r["e"])))
-    removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0))
+    kept = F.filter(lines, lambda x, i: ~F.exists("__gone", lambda r: (i >= r["s"]) & (i <= r["e"])))
+    removed = F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0))
     return (
-        docs.join(gone, docs.doc_id == gone._id, "left").drop("_id")
+        docs.join(gone, docs.doc_id == gone["__id"], "left").drop("__id")
         .withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", removed.cast("long"))
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("gone")
+        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop("__gone")
     )
 
 

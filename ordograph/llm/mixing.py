@@ -90,6 +90,7 @@ def mixed_order(docs: DataFrame, budget: int | None = None, entropy_share: float
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as mixed_order uses it; columns stay."""
-    uses = mixed_order(docs, **how).groupBy("doc_id", "epoch").agg(F.lit(1).alias("_one")).groupBy("doc_id").agg(F.count("*").cast("int").alias("_uses"))
-    again = docs.join(uses, docs.doc_id.eqNullSafe(uses.doc_id)).drop(uses.doc_id)
-    return again.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*docs.columns)
+    uses = mixed_order(docs, **how).groupBy("doc_id", "epoch").agg(F.lit(1).alias("_one")).groupBy("doc_id").agg(F.count("*").cast("int").alias("__uses"))
+    uses = uses.withColumnRenamed("doc_id", "__id")
+    again = docs.join(uses, docs.doc_id.eqNullSafe(uses["__id"]))
+    return again.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(*docs.columns)

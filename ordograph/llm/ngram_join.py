@@ -219,6 +219,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when each class keeps its smallest doc_id (of rows that share it, one)."""
     stay = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    return docs.join(stay, "doc_id", "left_semi").withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    return docs.join(stay, "doc_id", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
 
 
