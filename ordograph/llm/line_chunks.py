@@ -36,11 +36,14 @@ def chunks(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
 
 def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """(doc_id, gone): for each document with later copies of a chunk, its line ranges {s, e} to remove."""
-    places = chunks(docs, spread).withColumn("h", F.xxhash64("body")).filter("doc_id is not null")
+    body = F.coalesce("body", F.lit(""))  # never null, so that no filter tells the two uses of `places` apart
+    places = chunks(docs, spread).filter("doc_id is not null").select("doc_id", "s", "e", body.alias("body"), F.xxhash64(body).alias("h"))
     often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    again = places.join(often, "h", "left_semi")
-    first = again.groupBy("h", "body").agg(F.min(F.struct("doc_id", "s")).alias("first")).filter("first is not null")
-    later = again.join(first, ["h", "body"]).filter("not (doc_id = first.doc_id and s = first.s)")
+    # Both uses below read the same columns, hence one shuffle by h. Its frequent chunks are split, as neither use
+    # needs the rows by h any further: one combines them by body first, the other is a join on body.
+    again = places.join(often, "h", "left_semi").select("doc_id", "s", "e", "body")
+    first = again.groupBy("body").agg(F.min(F.struct("doc_id", "s", "e")).alias("first"))
+    later = again.join(first, "body").filter("not (doc_id = first.doc_id and s = first.s)")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
 
 
