@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     )
+    dealt = written(dealt, "dealt")  # of known size, so that a join broadcasts it while it is small, rather than shuffle all texts
     text_of = plain.join(dealt, "doc_id")
     spread = text_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     needs = fewest_matches(threshold, tolerance)
