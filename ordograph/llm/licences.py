@@ -97,7 +97,7 @@ tg as (select template, licence, {grams} g from t),
 u as (select distinct doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
       regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), [coalesce(text, '')])) unit from documents),
 uw as (select doc_id, unit, {words.format('unit')} w from u),
-ug as (select doc_id, unit, {grams} g from uw where len(w) between 2 and 2000),
+ug as (select doc_id, unit, {grams} g from uw where len(w) >= 2),
 m as (select doc_id, unit, licence, 2.0 * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) dice from ug join tg
       on len(ug.g) between len(tg.g) * {threshold / (2 - threshold)} - 1e-9 and len(tg.g) * {(2 - threshold) / threshold} + 1e-9),
 b as (select *, row_number() over (partition by doc_id, unit order by dice desc, licence) k from m where dice >= {threshold})
