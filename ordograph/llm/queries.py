@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licences": licences.oracle(), "op6_recompression": substrings.ORACLE, "op8_line_chunks": line_chunks.ORACLE}
+    return {"op4_licences": licences.oracle(), "op6_recompression": substrings.ORACLE, "op8_line_chunks": line_chunks.ORACLE, "op10_spotsigs": spotsigs.ORACLE}

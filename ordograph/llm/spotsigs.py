@@ -3,7 +3,8 @@
 A signature is an anchor, a word from a list of common ones, and the chain of the next CHAIN content words (words not
 in the list) within LOOK words. A fingerprint is the set of a text's signatures, 32 bits each, written in ascending
 order as hexadecimal digits; a text without one has the hash of the whole text as its only signature, so equal texts
-always have equal fingerprints. Likeness is the Jaccard coefficient of the sets.
+always have equal fingerprints. Likeness is the Jaccard coefficient of the sets. The 32 bits are the first of an MD5
+hash, so that any engine can check them.
 
 A null text is empty. Rows that share a doc_id follow each other by their text; with one row, a document's next is
 itself. A null doc_id comes first in the order. Extra columns play no part.
@@ -27,13 +28,18 @@ STOPS = sorted(set(ANCHORS))
 _SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
+def _bits(text):
+    """The first 32 bits of a string's MD5 hash, less 2 ** 31, as an int; in the order of the hexadecimal digits."""
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
+
+
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: the sorted signatures of a text column."""
     words, n = f"_{out}_w", f"_{out}_n"
 
     def chain(i):
         content = F.slice(F.filter(F.slice(words, i + 2, F.lit(LOOK)), lambda w: ~w.isin(STOPS)), F.lit(1), F.lit(CHAIN))
-        return F.when((F.size(content) == CHAIN) & F.get(words, i).isin(STOPS), F.hash(F.get(words, i), content))
+        return F.when((F.size(content) == CHAIN) & F.get(words, i).isin(STOPS), _bits(F.concat_ws(" ", F.get(words, i), content)))
 
     anchors = F.filter(F.sequence(F.lit(0), F.col(n)), lambda i: F.get(words, i).isin(STOPS) & F.get(words, i).isNotNull())
     listed = (
@@ -41,11 +47,11 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
         .withColumn(n, F.size(words))
         .withColumn(out, F.array_sort(F.array_distinct(F.filter(F.transform(anchors, chain), lambda x: x.isNotNull()))))
     )
-    return listed.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.hash(text)))).drop(words, n)
+    return listed.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(_bits(F.col(text))))).drop(words, n)
 
 
 def written_out(signatures: str):
-    return F.array_join(F.transform(signatures, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.array_join(F.transform(signatures, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0"))), "")
 
 
 def likeness(a: str, b: str, least: float = 0.0):
@@ -104,3 +110,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         written_out("es").alias("edited_fingerprint"), likeness("s", "es").alias("near_edited"), likeness("s", "ns").alias("near_next"),
         length_class("s").alias("length_class"),
     )
+
+
+_STOP_LIST = ", ".join(f"'{w}'" for w in STOPS)
+
+
+def _sql_signatures(text: str) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""(select coalesce(list(distinct m order by m), [substr(md5({text}), 1, 8)]) from (
+      select substr(md5(w[i] || ' ' || c[1] || ' ' || c[2]), 1, 8) m from (
+        select w, i, list_filter(w[i + 1 : i + {LOOK}], lambda x: not list_contains(stops, x))[1:{CHAIN}] c from (
+          select w, unnest(range(1, len(w) + 1)) i from (select {words} w))
+        where list_contains(stops, w[i])) where len(c) = {CHAIN}))"""
+
+
+def _sql_likeness(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"cast({both} as double) / (len({a}) + len({b}) - {both})"
+
+
+ORACLE = f"""
+with stop as (select [{_STOP_LIST}] stops),
+t as (select doc_id, coalesce(text, '') text from documents),
+n as (select doc_id, text, row_number() over (order by doc_id, text) k,
+        coalesce(lead(text) over (order by doc_id, text), first_value(text) over (order by doc_id, text)) following from t),
+d as (select *, substr(text, 1, length(text) - length(text) // 4) || substr(following, 1, length(text) // 4) edited from n),
+x as (select d.*, {_sql_signatures('text')} s, {_sql_signatures('edited')} es, {_sql_signatures('following')} ns from d, stop)
+select doc_id, length(text) n_chars, sha256(edited) edited_sha256, array_to_string(s, '') fingerprint, array_to_string(es, '') edited_fingerprint,
+       {_sql_likeness('s', 'es')} near_edited, {_sql_likeness('s', 'ns')} near_next,
+       cast(floor(ln(len(s)) / ln(1.25) + 1e-9) as integer) length_class
+from x
+"""
