@@ -12,6 +12,8 @@ itself. A null doc_id comes first in the order. Extra columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 CHAIN, LOOK = 2, 10
@@ -67,8 +69,8 @@ def length_class(signatures: str, least: float = 0.8):
     return F.floor(F.log(F.size(signatures).cast("double")) / F.log(F.lit(1 / least)) + 1e-9).cast("int")
 
 
-def with_next(docs: DataFrame, carried: list[str], rows_each: int = 2000) -> DataFrame:
-    """docs with a struct `next` of the carried columns of the following row by doc_id (of the last one: the first).
+def with_next(docs: DataFrame, carried: list[str], made: Callable[[DataFrame], DataFrame], rows_each: int = 2000) -> DataFrame:
+    """made(docs) with a struct `next` of the carried columns of the following row by doc_id (of the last one: the first).
 
     Rows are dealt into ranges of doc_id; a window serves inside a range, and the first row of each range (at most
     4096) is joined to the last one before it.
@@ -79,8 +81,9 @@ def with_next(docs: DataFrame, carried: list[str], rows_each: int = 2000) -> Dat
     marks = sorted(set(marks or []))
     dealt = docs.withColumn("_range", _place(marks, F.col("doc_id")))
     order = W.partitionBy("_range").orderBy("doc_id", "text")
-    led = dealt.withColumn("next", F.lead(F.struct(*carried)).over(order))
-    first = dealt.groupBy("_range").agg(F.min_by(F.struct(*carried), F.struct("doc_id", "text")).alias("first"))
+    led = made(dealt).withColumn("next", F.lead(F.struct(*carried)).over(order))
+    first = dealt.groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("_range", "first.*")
+    first = made(first).select("_range", F.struct(*carried).alias("first"))
     used = sorted(r["_range"] for r in dealt.select("_range").distinct().collect())  # 4096 at most
     after = docs.sparkSession.createDataFrame([(a, b) for a, b in zip(used, used[1:] + used[:1], strict=True)] or [(0, 0)], "_before int, _range int")
     first = first.join(F.broadcast(after), "_range").select(F.col("_before").alias("_range"), "first")
@@ -99,8 +102,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row: its fingerprint, that of its text with the last quarter replaced by the start of the next
     document's, and the likeness of its own with that and with the next document's."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = with_signatures(plain, "text", "s").withColumn("n_chars", F.length("text"))
-    led = with_next(signed, ["text", "s"])
+    led = with_next(plain, ["text", "s"], lambda df: with_signatures(df, "text", "s").withColumn("n_chars", F.length("text")))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring(F.col("next.text"), F.lit(1), quarter))
     both = led.select("doc_id", "n_chars", "s", F.col("next.s").alias("ns"), edited.alias("edited"))
