@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every row; texts lose the chunks of lines that an earlier document has, n_chars follows."""
-    kept = line_chunks.without_repeats(docs)
+    kept = line_chunks.without_repeats(docs, pairs=True)
     return kept.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
 
 

@@ -5,6 +5,11 @@ A text's lines (split at line feeds) are hashed; where a rolling hash over two n
 with letters or digits that occurs more than once, the place with the smallest (doc_id, line) stays; the others go.
 Hashes only find candidates: places are grouped by the chunk's own bytes.
 
+That roll is (x - y) modulo 3 of the line hashes, so equal neighbours always end a chunk, and runs of equal lines fall
+into single lines, which stay. op8_line_chunks has it, as its SQL does. With `pairs` (the pipeline's stage) an end is
+taken from a hash of two neighbouring lines with letters or digits, never between equal ones, and each chunk has two
+such lines at least, if the text has: of ends that follow each other line by line every second one counts.
+
 A null text counts as empty (one empty line). Rows that share a doc_id count as one document, so a chunk's first
 place stays in each of them; a null doc_id is never first and its chunks are never removed. Extra columns stay, but for n_lines and n_removed, which are replaced.
 """
@@ -13,31 +18,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SPREAD = 3
+SPREAD, PAIR_SPREAD = 3, 2
+_SOLID = "[^ \\t\\r]"
 
 
-def chunks(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """(doc_id, s, e, body): the chunks of each text, lines s to e counted from 0."""
+def _ends_by_roll(lined: DataFrame, spread: int) -> DataFrame:
     hashed = F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
     return (
-        docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
-        .withColumn("_h", hashed)
+        lined.withColumn("_h", hashed)
         .withColumn("_before", F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("_h")), F.lit(1), F.size("_h")))
         .withColumn("_roll", F.zip_with("_h", "_before", lambda x, y: (x * 31 + y * 17) % spread))
         .withColumn("_n", F.size("_h"))
         .withColumn("_ends", F.filter(F.transform("_roll", lambda x, i: F.when((x == 0) | (i == F.col("_n") - 1), i)), lambda x: x.isNotNull()))
-        .withColumn("_starts", F.slice(F.concat(F.array(F.lit(0)), F.transform("_ends", lambda x: x + 1)), F.lit(1), F.size("_ends")))
+    )
+
+
+def _ends_by_pairs(lined: DataFrame, spread: int) -> DataFrame:
+    end = lambda x, y: F.when((x != y) & (F.pmod(F.xxhash64(y, x), F.lit(spread)) == 0), "1").otherwise("0")
+    inner = F.greatest(F.lit(0), F.size("_at") - 2)  # the last two lines are in the last chunk
+    return (
+        lined.withColumn("_at", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(_SOLID), i)), lambda i: i.isNotNull()))
+        .withColumn("_h", F.transform(F.filter("_lines", lambda x: x.rlike(_SOLID)), lambda x: F.xxhash64(x)))
+        .withColumn("_before", F.slice(F.concat(F.array(F.get("_h", F.lit(0))), F.col("_h")), F.lit(1), F.size("_h")))
+        .withColumn("_flags", F.split(F.replace(F.array_join(F.zip_with("_h", "_before", end), ""), F.lit("11"), F.lit("10")), ""))
+        .withColumn("_inner", F.zip_with(F.slice("_at", F.lit(1), inner), F.slice("_flags", F.lit(1), inner), lambda i, f: F.when(f == "1", i)))
+        .withColumn("_ends", F.concat(F.filter("_inner", lambda i: i.isNotNull()), F.array(F.size("_lines") - 1)))
+    )
+
+
+def chunks(docs: DataFrame, spread: int | None = None, pairs: bool = False) -> DataFrame:
+    """(doc_id, s, e, body): the chunks of each text, lines s to e counted from 0."""
+    lined = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    ended = _ends_by_pairs(lined, spread or PAIR_SPREAD) if pairs else _ends_by_roll(lined, spread or SPREAD)
+    return (
+        ended.withColumn("_starts", F.slice(F.concat(F.array(F.lit(0)), F.transform("_ends", lambda x: x + 1)), F.lit(1), F.size("_ends")))
         .select("doc_id", "_lines", F.explode(F.arrays_zip(F.col("_starts").alias("s"), F.col("_ends").alias("e"))).alias("at"))
         .select("doc_id", F.col("at.s").alias("s"), F.col("at.e").alias("e"), F.slice("_lines", F.col("at.s") + 1, F.col("at.e") - F.col("at.s") + 1).alias("_part"))
-        .filter(F.size(F.filter("_part", lambda x: x.rlike("[^ \\t\\r]"))) >= 2)
+        .filter(F.size(F.filter("_part", lambda x: x.rlike(_SOLID))) >= 2)
         .select("doc_id", "s", "e", F.array_join("_part", "\n").alias("body"))
     )
 
 
-def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def repeated(docs: DataFrame, spread: int | None = None, pairs: bool = False) -> DataFrame:
     """(doc_id, gone): for each document with later copies of a chunk, its line ranges {s, e} to remove."""
     body = F.coalesce("body", F.lit(""))  # never null, so that no filter tells the two uses of `places` apart
-    places = chunks(docs, spread).filter("doc_id is not null").select("doc_id", "s", "e", body.alias("body"), F.xxhash64(body).alias("h"))
+    places = chunks(docs, spread, pairs).filter("doc_id is not null").select("doc_id", "s", "e", body.alias("body"), F.xxhash64(body).alias("h"))
     often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     # Both uses below read the same columns, hence one shuffle by h. Its frequent chunks are split, as neither use
     # needs the rows by h any further: one combines them by body first, the other is a join on body.
@@ -47,9 +72,9 @@ def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def without_repeats(docs: DataFrame, spread: int | None = None, pairs: bool = False) -> DataFrame:
     """docs with `text` less its repeated chunks, plus n_lines and n_removed."""
-    gone = repeated(docs, spread).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
+    gone = repeated(docs, spread, pairs).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("__gone", lambda r: (i >= r["s"]) & (i <= r["e"])))
     removed = F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0))

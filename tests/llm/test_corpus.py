@@ -209,6 +209,13 @@ def test_lines_and_quality(spark, texts):
     assert sum(r["predicted"] == (r["doc_id"] < 200) for r in scored) >= 396
 
 
+def test_line_stage_removes_runs_of_equal_and_alternating_lines(spark):
+    runs = ["head\n" + "same line\n" * 58 + "tail", "\n".join(["left", "right"] * 30), "\n\n".join(f"paragraph {i}" for i in range(20)), "a b\nc d"]
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, frame(spark, runs + runs), "").collect()}
+    assert kept[0] == runs[0] and kept[2] == runs[2] and kept[3] == runs[3]
+    assert [kept[i] for i in range(4, 8)] == [""] * 4
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
