@@ -181,17 +181,14 @@ def _block_pair(threshold: float, needs: list[int]):
     return compare
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, text_id, class_id, n_links) for each row of docs (doc_id, text).
-
-    text_id: smallest doc_id with the same text. n_links: number of different texts with a similarity of at least
-    threshold. class_id: smallest doc_id connected by such links and equal texts.
-    """
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _classes(plain: DataFrame, threshold: float, tolerance: float, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sha) of each row and (sha, text_id, class_id, n_links) of each text; by_text: doc_id stands for the
+    text, so rows that share it are compared once."""
     keyed = plain.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), word_hashes(F.col("text")).alias("words"))
     keyed = written(keyed.mapInArrow(_band_keys, "doc_id long, sha binary, bands array<long>"), "bands")
     classes = written(keyed.groupBy("sha").agg(F.min("doc_id").alias("text_id")), "texts")
-    firsts = keyed.filter("bands is not null").join(classes, (keyed.doc_id == classes.text_id) & (keyed.sha == classes.sha), "left_semi")
+    firsts = keyed.filter("bands is not null")
+    firsts = firsts.dropDuplicates(["doc_id"]) if by_text else firsts.join(classes, (keyed.doc_id == classes.text_id) & (keyed.sha == classes.sha), "left_semi")
     keys = written(firsts.select("doc_id", F.explode("bands").alias("key")), "keys")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a <> z").select("key", "a")
     # a row for each text and key, less those that link the same two texts again
@@ -205,6 +202,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     )
     dealt = written(dealt, "dealt")  # of known size, so that a join broadcasts it while it is small, rather than shuffle all texts
     text_of = plain.join(dealt, "doc_id")
+    text_of = text_of.dropDuplicates(["doc_id"]) if by_text else text_of
     spread = text_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     needs = fewest_matches(threshold, tolerance)
     links = spread.select("root", "one", "two", "block", "doc_id", "text").groupBy("root", "one", "two").applyInPandas(_block_pair(threshold, needs), "doc_id long, links long, peer long")
@@ -213,13 +211,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     counts = links.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
     found = classes.join(counts, classes.text_id == counts.doc_id, "left").drop("doc_id").join(near, F.col("text_id") == near.node, "left")
     found = found.select("sha", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return keyed.select("doc_id", "sha").join(found, "sha").select("doc_id", "text_id", "class_id", "n_links")
+    return keyed.select("doc_id", "sha"), found
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when each class keeps its smallest doc_id (of rows that share it, one)."""
-    stay = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    return docs.join(stay, "doc_id", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, text_id, class_id, n_links) for each row of docs (doc_id, text).
+
+    text_id: smallest doc_id with the same text. n_links: number of different texts with a similarity of at least
+    threshold. class_id: smallest doc_id connected by such links and equal texts.
+    """
+    rows, found = _classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), threshold, tolerance)
+    return rows.join(found, "sha").select("doc_id", "text_id", "class_id", "n_links")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when each class of texts keeps one row: of the smallest doc_id (nulls last), then text
+    hash. Classes are by text alone, so texts that share a doc_id, or have none, aren't linked by it."""
+    text = F.coalesce("text", F.lit(""))
+    _, found = _classes(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), THRESHOLD, TOLERANCE, by_text=True)
+    sha = F.unhex(F.sha2(text, 256))
+    firsts = docs.select("doc_id", sha.alias("sha")).groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    # a text without links is a class of its own, even if another's 64-bit hash is the same
+    alone = F.when(F.col("n_links") == 0, F.col("sha"))
+    stay = firsts.join(found, "sha").groupBy("class_id", alone.alias("alone")).agg(F.min(F.struct("first", "sha")).alias("one"))
+    key = {"__sha": F.col("one.sha"), "__none": F.col("one.first.none"), "__id": F.coalesce("one.first.doc_id", F.lit(0)).cast("long")}
+    stay = stay.select(*(c.alias(k) for k, c in key.items()))
+    keyed = docs.withColumns({"__sha": sha, "__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)).cast("long")})
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    return keyed.join(stay, list(key), "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)

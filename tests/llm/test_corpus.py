@@ -108,6 +108,15 @@ def test_ngram_join(spark, texts):
         assert (got[d]["n_links"], got[d]["class_id"]) == (links[k], first[root[k]]), d
 
 
+def test_one_of_each_decides_by_text(spark):
+    words = [f"w{i}" for i in range(100)]
+    long, near = " ".join(words), " ".join(["changed", *words[1:]])
+    rows = [(1, long), (2, near), (2, "other text of two"), (3, "third text"), (None, "third text"), (None, "only here"), (None, "only here"), (None, near), (4, "fourth text"), (4, "fourth text"), (4, long), (5, None), (None, "")]
+    kept = ngram_join.one_of_each(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    want = {(1, long), (2, "other text of two"), (3, "third text"), (None, "only here"), (4, "fourth text"), (5, None)}
+    assert len(kept) == len(want) and {(r["doc_id"], r["text"]) for r in kept} == want
+
+
 def test_substrings(spark, texts):
     got = {r["doc_id"]: r for r in substrings.without_repeats(frame(spark, texts)).collect()}
     whole = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
