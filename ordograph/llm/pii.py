@@ -6,12 +6,18 @@ candidates. Labelers (pattern, shape, gazetteer, context, counter-evidence) vote
 on the counts of all vote patterns estimates each labeler's reliabilities and each pattern's probability; a logistic
 span classifier is trained on votes and shapes with these as targets, and adds the candidates that it accepts.
 
+A token of more than LONG characters (JSON without blanks, links, connection strings) is judged by its parts between
+quotes, commas, ampersands, semicolons and question marks; a part that is still longer only as a key with its value or
+by a known prefix.
+
 Texts that are null count as empty. Rows repeat as given; extra columns stay out. Counts of patterns cover all texts.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -35,6 +41,7 @@ _DIGIT, _BLANK = re.compile(r"[0-9]"), re.compile(r"[\x20\x09-\x0D]")
 _SSN, _IBAN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z"), re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _KEYED = re.compile(r"([A-Za-z_-]{2,24})[=:](.{6,})\Z", re.S)
 _CLOUD = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\Z|gh[pousr]_[A-Za-z0-9]{20,}\Z|sk-[A-Za-z0-9]{20,}\Z")
+LONG, _PART = 200, re.compile(r"[^\"',&;?]+")
 _WORD_BEFORE = re.compile(r"[A-Za-z]+")
 
 # Words that name or precede private data.
@@ -76,28 +83,45 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [emails, ips, cards, phones]
 
 
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and text[s] in "([{\"'<":
+        s += 1
+    while e > s and text[e - 1] in ".,;:!?)]}\"'>":
+        e -= 1
+    return s, e
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Tokens with digits outside the spans taken that may hold something private: (kind, start, end)."""
     out, pos, n = [], 0, len(text)
+    taken = sorted(taken)
+    starts, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+
+    def judge(s: int, e: int) -> None:
+        before = bisect.bisect_left(starts, e)
+        if e - s < 8 or (before and reach[before - 1] > s):
+            return
+        token = text[s:e]
+        if _SSN.match(token):
+            out.append(("ssn", s, e))
+        elif _IBAN.match(token):
+            out.append(("iban", s, e))
+        elif _CLOUD.match(token) or _KEYED.match(token) or (12 <= e - s <= LONG and any(c.isalpha() for c in token)):
+            out.append(("secret", s, e))
+
     while m := _DIGIT.search(text, pos):
         s = m.start()
         while s > pos and not _BLANK.match(text[s - 1]):
             s -= 1
         end = _BLANK.search(text, m.end())
         e = pos = end.start() if end else n
-        while s < e and text[s] in "([{\"'<":
-            s += 1
-        while e > s and text[e - 1] in ".,;:!?)]}\"'>":
-            e -= 1
-        if e - s < 8 or e - s > 200 or any(a < e and s < b for a, b in taken):
+        s, e = _trimmed(text, s, e)
+        if e - s <= LONG:
+            judge(s, e)
             continue
-        token = text[s:e]
-        if _SSN.match(token):
-            out.append(("ssn", s, e))
-        elif _IBAN.match(token):
-            out.append(("iban", s, e))
-        elif _CLOUD.match(token) or _KEYED.match(token) or (e - s >= 12 and any(c.isalpha() for c in token)):
-            out.append(("secret", s, e))
+        for part in _PART.finditer(text, s, e):
+            if _DIGIT.search(part.group()):
+                judge(*_trimmed(text, *part.span()))
     return out
 
 

@@ -186,6 +186,21 @@ def test_added_spans(spark):
     assert got[1][0]["kind"] == "secret" and got[2] == []
 
 
+def test_candidates_in_long_tokens(spark):
+    jwt = "token=" + "eyJhbGciOiJI1." * 30 + "x9"
+    json = "{" + ",".join(f'"name_{i}":"value of none"'.replace(" ", "_") for i in range(20)) + ',"auth":"password=a8f3k2l9x1","mail":"a.b@c.de","id":"ab12-cd34-ef56"}'
+    link = "https://x.y/" + "path/" * 50 + "?token=a8f3k2l9x1&page=2"
+    store = "AccountName=abc1;" + "Option=none9;" * 20 + "AccountKey=" + "Zm9v" * 20 + "1==;ssn;123-45-6789"
+    found = lambda t: [(k, t[s:e]) for k, s, e in pii.candidates(t, [x for own in pii.base_spans(t) for x in own])]
+    assert found(jwt) == [("secret", jwt)] and found("see " + "sk-" + "a1" * 150 + " end") == [("secret", "sk-" + "a1" * 150)]
+    assert {("secret", "password=a8f3k2l9x1"), ("secret", "ab12-cd34-ef56")} <= set(found(json)) and not any("@" in x for _, x in found(json))
+    assert ("secret", "token=a8f3k2l9x1") in found(link)
+    assert {("secret", "AccountKey=" + "Zm9v" * 20 + "1=="), ("ssn", "123-45-6789")} <= set(found(store))
+    assert found("x" * 150 + "1" * 150) == []
+    got = pii.private_spans(frame(spark, [jwt, json] + ["login password=a8f3k2l9x1 ok"] * 20)).orderBy("doc_id").collect()
+    assert [jwt[x["s"] : x["e"]] for x in got[0]["spans"]] == [jwt] and "password=a8f3k2l9x1" in {json[x["s"] : x["e"]] for x in got[1]["spans"]}
+
+
 def test_spotsigs(spark, texts):
     rows = {r["doc_id"]: r for r in spotsigs.fingerprints(frame(spark, texts)).collect()}
     for d, t in enumerate(texts):
