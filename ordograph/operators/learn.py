@@ -129,12 +129,13 @@ def attempt_log(edges: DataFrame, episodes: int = 10, tries: int = 5, network: b
     return per_instance(edges, run, "instance string, episode int, centrality string, bandwidth int, reward int, score int")
 
 
-# The parameter grid.
+# The parameter grid that param_grid's SQL lists, and the reference's, which top3_params searches.
 GRID = {"episodes": [10, 20, 30], "lr": [0.1, 0.5], "gamma": [0.9, 0.99], "eps": [0.5, 1.0], "eps_decay": [0.9, 0.99]}
+REFERENCE_GRID = {"episodes": [20, 30, 40], "lr": [0.001, 0.005], "gamma": [0.8, 0.9], "eps": [1.0, 0.5], "eps_decay": [0.99, 0.995]}
 
 
-def parameter_grid(spark: SparkSession) -> DataFrame:
-    rows = [(i, *p) for i, p in enumerate(itertools.product(*GRID.values()))]
+def parameter_grid(spark: SparkSession, values: dict[str, list] | None = None) -> DataFrame:
+    rows = [(i, *p) for i, p in enumerate(itertools.product(*(values or GRID).values()))]
     return spark.createDataFrame(rows, "param_id int, episodes int, lr double, gamma double, eps double, eps_decay double")
 
 
@@ -144,12 +145,15 @@ def grid_search(edges: DataFrame, grid: DataFrame, seed: int = 0) -> DataFrame:
     points = plain.select("instance").distinct().crossJoin(F.broadcast(grid))  # the grid is a fixed list
     copies = plain.join(points.select("instance", "param_id"), "instance").select(F.col("instance").alias("of"), F.col("param_id").alias("point"), "u", "v")
 
+    known = per_instance(edges, lambda name, names, g: pd.DataFrame({"instance": [name], "tables": [tables_of(g).tobytes()]}), "instance string, tables binary")
+    points = points.join(known, "instance")  # computed once for all points of the grid
+
     def run(pairs: pd.DataFrame, point: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs) or not len(point):
             return pd.DataFrame({"instance": [], "param_id": [], "bandwidth": [], "lower_bound": []})
         names, where = np.unique(np.concatenate([pairs.u, pairs.v]), return_inverse=True)
         g, p = kernels.Graph(len(names), where[: len(pairs)], where[len(pairs) :]), point.iloc[0]
-        bw, _ = train_levels(g, tables_of(g), int(p.episodes), seed, lr=p.lr, gamma=p.gamma, eps=p.eps, decay=p.eps_decay)
+        bw, _ = train_levels(g, np.frombuffer(p.tables).reshape(len(NAMES), -1), int(p.episodes), seed, lr=p.lr, gamma=p.gamma, eps=p.eps, decay=p.eps_decay)
         return pd.DataFrame({"instance": [p.instance], "param_id": [int(p.param_id)], "bandwidth": [bw], "lower_bound": [lower_bound(g.n, len(g.u))]})
 
     return copies.groupBy("of", "point").cogroup(points.groupBy("instance", "param_id")).applyInPandas(run, "instance string, param_id int, bandwidth int, lower_bound int")

@@ -534,8 +534,7 @@ def _(s, d):
 
 @query("top3_params")
 def _(s, d):
-    grid = L.parameter_grid(s).filter("episodes = 10")
-    return L.grid_search(_user(s, d), grid).orderBy("bandwidth", "param_id").limit(3)
+    return L.grid_search(_user(s, d), L.parameter_grid(s, L.REFERENCE_GRID)).orderBy("bandwidth", "param_id").limit(3)
 
 
 def _r(sql: str) -> str:

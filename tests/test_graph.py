@@ -8,6 +8,7 @@ import pytest
 
 from ordograph.functions import kernels
 from ordograph.operators import bandwidth as B, centrality as C, graph as G, learn as L, ordering as O, traverse as T
+from ordograph.plans import catalogue
 from ordograph.sources import matrix_market as M
 
 G5 = [(1, 2), (1, 4), (2, 3), (2, 4), (2, 5), (3, 5), (4, 5)]
@@ -86,6 +87,18 @@ def test_agents_learn(spark):
     assert L.parameter_grid(spark).count() == 48
 
 
+def test_top3_searches_the_whole_grid(spark, monkeypatch):
+    grids = []
+
+    def search(edges, grid):
+        grids.append([tuple(r)[1:] for r in grid.collect()])
+        return grid.withColumn("bandwidth", -grid.param_id)
+
+    monkeypatch.setattr(L, "grid_search", search)
+    assert [r["param_id"] for r in catalogue.queries()["top3_params"](spark, "/root/testdata/sf0.001").collect()] == [47, 46, 45]
+    assert len(set(grids[0])) == 48 and {p[0] for p in grids[0]} == {20, 30, 40} and (40, 0.005, 0.9, 0.5, 0.995) in grids[0]
+
+
 @pytest.mark.skipif(not os.path.isdir(CORPUS), reason="matrices aren't here")
 def test_shipped_matrices(spark):
     paths = [f"{CORPUS}/structural/bcsstk01.mtx", f"{CORPUS}/thermal/lshp_265.mtx", f"{CORPUS}/electromagnetics/dw256A.mtx"]
