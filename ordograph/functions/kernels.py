@@ -131,6 +131,38 @@ def betweenness(g: Graph, sources=None, normalised: bool = True) -> np.ndarray:
     return out * scale / ((g.n - 1) * (g.n - 2)) if normalised and g.n > 2 else out * scale / 2
 
 
+def _flow(g: Graph, x: np.ndarray) -> np.ndarray:
+    return np.bincount(g.u, x[g.v], g.n) + np.bincount(g.v, x[g.u], g.n)
+
+
+def _settled(g: Graph, x: np.ndarray, step, rounds: int = 1000, tol: float = 1e-6) -> np.ndarray:
+    for _ in range(rounds):
+        old, x = x, step(x)
+        if np.abs(x - old).sum() < g.n * tol or x.max(initial=0) > 1e100:
+            break
+    return x
+
+
+def eigenvector(g: Graph) -> np.ndarray:
+    """By powers of A + I, which doesn't swing on bipartite graphs."""
+
+    def step(x):
+        x = _flow(g, x) + x
+        return x / np.linalg.norm(x)
+
+    return _settled(g, np.full(g.n, 1 / np.sqrt(max(1, g.n))), step) if g.n else np.zeros(0)
+
+
+def katz(g: Graph, alpha: float = 0.005, beta: float = 1.0) -> np.ndarray:
+    """Of unit length; where the sum diverges, its direction, which is the first eigenvector's."""
+    x = _settled(g, np.zeros(g.n), lambda x: alpha * _flow(g, x) + beta)
+    return x / max(np.linalg.norm(x), 1e-300)
+
+
+def pagerank(g: Graph, alpha: float = 0.85) -> np.ndarray:
+    return _settled(g, np.full(g.n, 1 / max(1, g.n)), lambda x: alpha * _flow(g, x / np.maximum(g.degree, 1)) + (1 - alpha) / g.n)
+
+
 def current_flow_betweenness(g: Graph) -> np.ndarray:
     """For a connected graph, by the pseudo-inverse of its Laplacian."""
     lap = np.zeros((g.n, g.n))

@@ -12,7 +12,7 @@ from ordograph.functions import kernels
 from ordograph.operators.graph import simple
 from ordograph.operators.traverse import per_instance
 
-NAMES = ("Degree", "Closeness", "Betweenness", "Harmonic Centrality")
+NAMES = ("Degree", "Closeness", "Betweenness", "Eigenvector", "Katz Centrality", "PageRank", "Harmonic Centrality")
 
 
 def tables_of(g: kernels.Graph) -> np.ndarray:
@@ -21,7 +21,7 @@ def tables_of(g: kernels.Graph) -> np.ndarray:
     far = np.where(dist > 0, dist, 0).sum(axis=1)
     with np.errstate(divide="ignore"):
         har = np.where(dist > 0, 1 / np.where(dist > 0, dist, 1), 0).sum(axis=1)
-    return np.stack([g.degree / max(1, g.n - 1), (dist > 0).sum(axis=1) / np.maximum(far, 1), kernels.betweenness(g), har])
+    return np.stack([g.degree / max(1, g.n - 1), (dist > 0).sum(axis=1) / np.maximum(far, 1), kernels.betweenness(g), kernels.eigenvector(g), kernels.katz(g), kernels.pagerank(g), har])
 
 
 def lower_bound(n: int, m: int) -> int:
@@ -108,7 +108,7 @@ def train_levels(g: kernels.Graph, tables: np.ndarray, episodes: int, seed: int,
     return best, agent
 
 
-def attempt_log(edges: DataFrame, episodes: int = 10, tries: int = 5, network: bool = False, seed: int = 0) -> DataFrame:
+def attempt_log(edges: DataFrame, episodes: int = 30, tries: int = 15, network: bool = False, seed: int = 0) -> DataFrame:
     """(instance, episode, centrality, bandwidth, reward, score): one agent for each instance, in its own task."""
 
     def run(name, names, g):

@@ -1,5 +1,6 @@
 """Literal expectations on small graphs, invariants, and the shipped matrices."""
 
+import inspect
 import math
 import os
 
@@ -99,6 +100,20 @@ def test_top3_searches_the_whole_grid(spark, monkeypatch):
     assert len(set(grids[0])) == 48 and {p[0] for p in grids[0]} == {20, 30, 40} and (40, 0.005, 0.9, 0.5, 0.995) in grids[0]
 
 
+def test_agents_choose_among_all_centralities(spark):
+    e = frame(spark, [(u + 1, v + 1) for u, v in G10])
+    g, tables = kernels.Graph(10, *zip(*G10, strict=True)), {}
+    for name, row in zip(L.NAMES, L.tables_of(g), strict=True):
+        tables[name] = row
+    assert set(tables) == set(C.REGISTRY) and len(tables) == 7
+    for name in ("Eigenvector", "Katz Centrality", "PageRank"):
+        want = values(C.REGISTRY[name][0](e))
+        assert all(math.isclose(tables[name][v - 1], want[v], abs_tol=1e-4) for v in want), name
+    assert np.isfinite(kernels.katz(kernels.Graph(400, *np.triu_indices(400, 1)))).all()
+    assert len(L.attempt_log(e).collect()) == 30
+    assert inspect.signature(L.attempt_log).parameters["tries"].default == 15
+
+
 @pytest.mark.skipif(not os.path.isdir(CORPUS), reason="matrices aren't here")
 def test_shipped_matrices(spark):
     paths = [f"{CORPUS}/structural/bcsstk01.mtx", f"{CORPUS}/thermal/lshp_265.mtx", f"{CORPUS}/electromagnetics/dw256A.mtx"]
