@@ -256,29 +256,45 @@ def node_connectivity(g: Graph) -> int:
     return best
 
 
-def hill_climb(g: Graph, label: np.ndarray, rounds: int = 50) -> np.ndarray:
+def _extremes(g: Graph, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest label of each vertex's neighbours; out of any reach where it has none."""
+    own, low, high = np.flatnonzero(g.degree), np.full(g.n, 4 * g.n), np.full(g.n, -4 * g.n)
+    if len(own):
+        low[own], high[own] = np.minimum.reduceat(label[g.dst], g.at[own]), np.maximum.reduceat(label[g.dst], g.at[own])
+    return low, high
+
+
+def hill_climb(g: Graph, label: np.ndarray) -> np.ndarray:
     """Swaps of an end of a critical edge with vertices nearer to the middle of its neighbours, while (bandwidth,
-    critical edges) falls."""
+    critical edges) falls; ends where no such swap is left that lowers it.
+
+    All partners are judged at once. Labels differ, so a vertex has two critical edges at most, to its neighbours' least
+    and greatest label; an edge between the swapped vertices keeps its length."""
     label = label.copy()
-    score = g.bandwidth(label), g.critical(label)
-    for _ in range(rounds):
+    if not len(g.u):
+        return label
+    low, high = _extremes(g, label)
+    while True:
         d = np.abs(label[g.u] - label[g.v])
-        worst = np.flatnonzero(d == d.max(initial=0)) if len(d) else []
-        better = False
-        for x in np.unique(np.concatenate([g.u[worst], g.v[worst]])) if len(worst) else []:
-            own = label[g.near(x)]
-            mid = (own.max() + own.min()) // 2
-            other = np.flatnonzero(np.abs(mid - label) < abs(mid - label[x]))
-            for y in other[np.argsort(np.abs(mid - label[other]), kind="stable")][:20]:
-                label[[x, y]] = label[[y, x]]
-                new = g.bandwidth(label), g.critical(label)
-                if new < score:
-                    score, better = new, True
-                    break
-                label[[x, y]] = label[[y, x]]
+        width, better = d.max(), False
+        for x in np.unique(np.concatenate([g.u[d == width], g.v[d == width]])):
+            now = label[x]
+            mid = (high[x] + low[x]) // 2
+            other = np.flatnonzero(np.abs(mid - label) < abs(mid - now))
+            other = other[np.argsort(np.abs(mid - label[other]), kind="stable")]
+            there, lo, hi = label[other], low[other], high[other]
+            tie = np.isin(other, g.near(x)) & (np.abs(there - now) == width)
+            before = (now - low[x] == width) * 1 + (high[x] - now == width) + (there - lo == width) + (hi - there == width) - 2 * tie
+            after = (there - low[x] == width) * 1 + (high[x] - there == width) + (now - lo == width) + (hi - now == width)
+            fits = (there - low[x] <= width) & (high[x] - there <= width) & (now - lo <= width) & (hi - now <= width)
+            good = other[fits & (after < before)]
+            if len(good):
+                label[[x, good[0]]] = label[[good[0], x]]
+                low, high = _extremes(g, label)
+                better = True
+                width = np.abs(label[g.u] - label[g.v]).max()
         if not better:
-            break
-    return label
+            return label
 
 
 def shake_swaps(g: Graph, label: np.ndarray, k: int, rng) -> np.ndarray:
@@ -293,9 +309,10 @@ def shake_swaps(g: Graph, label: np.ndarray, k: int, rng) -> np.ndarray:
             continue
         far = g.near(x)[np.abs(label[g.near(x)] - label[x]).argmax()]
         lo, hi = label[g.near(far)].min(), label[g.near(far)].max()
-        among = [w for w in np.flatnonzero((label >= lo) & (label <= hi)) if w != x and g.degree[w]]
-        if among:
-            w = min(among, key=lambda w: (max(label[g.near(w)].max() - label[x], label[x] - label[g.near(w)].min()), w))
+        among = np.flatnonzero((label >= lo) & (label <= hi) & (g.degree > 0) & (np.arange(g.n) != x))
+        if len(among):
+            low, high = _extremes(g, label)
+            w = among[np.maximum(high[among] - label[x], label[x] - low[among]).argmin()]
             label[[x, w]] = label[[w, x]]
     return label
 
@@ -309,20 +326,20 @@ def shake_rotations(g: Graph, label: np.ndarray, k: int, rng) -> np.ndarray:
     return labels_of(order)
 
 
-def vns(g: Graph, label: np.ndarray, rounds: int, k_min: int, k_max: int, k_step: int, alpha: int, seed: int) -> np.ndarray:
-    """Variable neighbourhood search: shake, climb, move if better by (bandwidth, critical edges) or far enough."""
-    rng, best = np.random.default_rng(seed), label
+def vns(g: Graph, label: np.ndarray, k_min: int, k_max: int, k_step: int, alpha: int, seed: int) -> np.ndarray:
+    """Variable neighbourhood search: shake, climb, move if better by (bandwidth, critical edges) or, at the same, far
+    enough; ends when every k from k_min to k_max was tried in turn without a better one.
+
+    The reference also goes back to k_min after a move to labels that are no better, which need not end."""
+    rng = np.random.default_rng(seed)
     now, k = hill_climb(g, label), k_min
-    for _ in range(rounds):
+    while k <= k_max:
         tried = hill_climb(g, shake_swaps(g, now, k, rng) if k <= 100 else shake_rotations(g, now, (k - k_min) // k_step, rng))
         a, b = (g.bandwidth(tried), g.critical(tried)), (g.bandwidth(now), g.critical(now))
         if a < b or (a == b and (tried != now).sum() > alpha):
-            now, k = tried, k_min
-        else:
-            k = k + k_step if k + k_step <= k_max else k_min
-        if g.bandwidth(now) < g.bandwidth(best):
-            best = now
-    return best
+            now = tried
+        k = k_min if a < b else k + k_step
+    return now if g.bandwidth(now) < g.bandwidth(label) else label
 
 
 def level_order(g: Graph, centrality: np.ndarray, alpha: float, rng, root: int | None = None, pick=None) -> np.ndarray:

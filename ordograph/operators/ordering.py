@@ -53,12 +53,12 @@ def hill_climb(edges: DataFrame) -> DataFrame:
     return per_instance(edges, run, LABELS)
 
 
-def vns(edges: DataFrame, starts: int = 2, rounds: int = 5, k_min: int = 2, k_max: int = 10, k_step: int = 2, alpha: int = 10) -> DataFrame:
+def vns(edges: DataFrame, starts: int = 2, k_min: int = 5, k_max: int = 220, k_step: int = 5, alpha: int = 10) -> DataFrame:
     """Labels of the best of several variable neighbourhood searches."""
 
     def run(name, names, g):
         first = kernels.labels_of(kernels.cuthill_mckee(g))
-        tried = [kernels.vns(g, first if s == 0 else np.random.default_rng(s).permutation(g.n) + 1, rounds, k_min, k_max, k_step, alpha, s) for s in range(starts)]
+        tried = [kernels.vns(g, first if s == 0 else np.random.default_rng(s).permutation(g.n) + 1, k_min, k_max, k_step, alpha, s) for s in range(starts)]
         return pd.DataFrame({"instance": name, "solution": "vns", "v": names, "label": min(tried, key=g.bandwidth)})
 
     return per_instance(edges, run, LABELS)

@@ -114,6 +114,33 @@ def test_agents_choose_among_all_centralities(spark):
     assert inspect.signature(L.attempt_log).parameters["tries"].default == 15
 
 
+def test_local_search_ends_at_a_local_optimum():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        n = 60
+        g = kernels.Graph(n, rng.integers(0, n, 90), rng.integers(0, n, 90))
+        label = kernels.hill_climb(g, rng.permutation(n) + 1)
+        score, d = (g.bandwidth(label), g.critical(label)), np.abs(label[g.u] - label[g.v])
+        for x in np.unique(np.concatenate([g.u[d == d.max()], g.v[d == d.max()]])):
+            own = label[g.near(x)]
+            mid = (own.max() + own.min()) // 2
+            for y in np.flatnonzero(np.abs(mid - label) < abs(mid - label[x])):
+                label[[x, y]] = label[[y, x]]
+                assert (g.bandwidth(label), g.critical(label)) >= score
+                label[[x, y]] = label[[y, x]]
+
+
+def test_vns_reaches_both_shakes(spark, monkeypatch):
+    used = []
+    for name in ("shake_swaps", "shake_rotations"):
+        monkeypatch.setattr(kernels, name, lambda g, label, k, rng, name=name, f=getattr(kernels, name): used.append((name, k)) or f(g, label, k, rng))
+    g = kernels.Graph(10, *zip(*G10, strict=True))
+    how = {k: p.default for k, p in inspect.signature(O.vns).parameters.items() if k.startswith("k_")}
+    label = kernels.vns(g, kernels.labels_of(kernels.cuthill_mckee(g)), **how, alpha=10, seed=0)
+    assert sorted(label) == list(range(1, 11))
+    assert used[-44:] == [("shake_swaps", k) for k in range(5, 101, 5)] + [("shake_rotations", k) for k in range(20, 44)]
+
+
 @pytest.mark.skipif(not os.path.isdir(CORPUS), reason="matrices aren't here")
 def test_shipped_matrices(spark):
     paths = [f"{CORPUS}/structural/bcsstk01.mtx", f"{CORPUS}/thermal/lshp_265.mtx", f"{CORPUS}/electromagnetics/dw256A.mtx"]
