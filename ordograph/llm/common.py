@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ordograph.plans.storage import running_totals, table, written
 
-__all__ = ["components", "running_totals", "table", "written"]
+__all__ = ["components", "fresh", "running_totals", "table", "written"]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of df's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
