@@ -49,7 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spotsigs.joined_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
