@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ordograph.llm.common import running_totals, written
+from ordograph.llm.common import fresh, running_totals, written
 
 SECTIONS = 32
 BLOCK_TOKENS = 100_000
@@ -56,17 +56,19 @@ def exponent(shares: DataFrame, entropy_share: float, most_repeats: float, keep_
 
 
 def mixed_order(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95, most_repeats: float = 4.0, keep_all: bool = False, seed: int = 17) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, epoch, window): a row for each time a document is used.
+    """(doc_id, source, n_tokens, weight, epoch, block, place, position, window): a row for each time a document is used.
 
     budget: tokens of the mix; by default as many as docs have, or with keep_all as many as use each document at
-    least once. window: the mix's part of BLOCK_TOKENS tokens in which the document starts; each source runs through
-    its budget evenly, so that every window has the target weights. A source's total differs from weight * budget by
-    less than its last document.
+    least once. place: tokens of its source before it, in the order of the source's block permutations; position: the
+    same as a part of the source's budget, by which the whole mix is ordered. Each source so runs through its budget
+    evenly, and each window, a part of the mix of BLOCK_TOKENS tokens, has the target weights. A source's total differs
+    from weight * budget by less than its last document.
     """
     counted = written(token_counts(docs), "tokens")
     by_source = written(counted.groupBy("source").agg(F.sum("n_tokens").alias("total")).filter("total > 0"), "sources")
     total = by_source.agg(F.sum("total")).first()[0] or 0
-    empty = counted.filter("n_tokens = 0").select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("window"))
+    zero = F.lit(0).cast("long")
+    empty = counted.filter("n_tokens = 0").select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), zero.alias("block"), zero.alias("place"), F.lit(0.0).alias("position"), zero.alias("window"))
     if not total:
         return empty
     shares = by_source.withColumn("share", F.col("total") / F.lit(float(total)))
@@ -85,12 +87,13 @@ def mixed_order(docs: DataFrame, budget: int | None = None, entropy_share: float
     # every document's first epoch stays with keep_all, whatever the last digit of its source's budget
     stays = placed.filter((F.col("at") < F.col("tokens") - 1e-6) | (F.lit(keep_all) & (F.col("epoch") == 0)))
     window = F.least(F.lit(windows - 1), F.floor(F.col("at") / F.col("tokens") * windows)).cast("long")
-    return stays.select("doc_id", "source", "n_tokens", "weight", "epoch", window.alias("window")).unionByName(empty)
+    position = F.least(F.lit(1.0), F.col("at") / F.col("tokens"))
+    return stays.select("doc_id", "source", "n_tokens", "weight", "epoch", F.col("block").cast("long").alias("block"), F.col("at").cast("long").alias("place"), position.alias("position"), window.alias("window")).unionByName(empty)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as mixed_order uses it; columns stay."""
-    uses = mixed_order(docs, **how).groupBy("doc_id", "epoch").agg(F.lit(1).alias("_one")).groupBy("doc_id").agg(F.count("*").cast("int").alias("__uses"))
-    uses = uses.withColumnRenamed("doc_id", "__id")
-    again = docs.join(uses, docs.doc_id.eqNullSafe(uses["__id"]))
-    return again.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(*docs.columns)
+    own, uses, use = fresh(docs, "own", "uses", "use")
+    often = mixed_order(docs, **how).groupBy(F.col("doc_id").alias(own)).agg(F.count_distinct("epoch").cast("int").alias(uses))
+    again = docs.join(often, docs.doc_id.eqNullSafe(often[own]))
+    return again.withColumn(use, F.explode(F.sequence(F.lit(1), F.col(uses)))).select(*docs.columns)

@@ -1,13 +1,20 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Texts are tokenised, each followed by id 0, and dealt by doc_id into packs of about PACK_TOKENS tokens. A pack keeps a
-queue for each source. For every window each source is credited its target share; sources are served in turn once
-their credit reaches QUANTUM, and what is left of the window goes to the largest credit. Credit is carried from window
-to window, and from pack to pack by the packs' token counts. The last part of a pack is cut into powers of two, which
-need no padding, so that no sequence is padded.
+Texts are tokenised, each followed by id 0. Each source has a target share: of all tokens, raised to an exponent or
+given. The sequences run through the mix from its start: a document with t tokens before it in its source, whose order
+is drawn, has time t / p for a share of p, so that at any time the sources that aren't used up yet are in target
+proportion. Time is cut into packs of about PACK_TOKENS tokens, one task each.
+
+In a pack each source has a queue. For every window the sources still waiting are credited their target shares; sources
+are served in turn once their credit reaches QUANTUM, and what is left of the window goes to the largest credit. Credit
+is carried from window to window, and from pack to pack: what the source was due until the pack's start, less the
+tokens in earlier packs. The last part of a pack is cut into powers of two, so that no sequence is padded.
+
+Copies of a document in one pack are as far apart in its queue as its other documents allow: all first copies come
+before all second ones. Sources beyond the MOST_QUEUES largest share one queue, in proportion to their tokens.
 
 A null text is empty (one token, id 0); a null source is a source of its own; repeated rows are packed as often as
-they occur. An empty table gives no rows. Extra columns play no part.
+they occur, in different packs by chance. An empty table gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -20,24 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from ordograph.llm.common import written
+from ordograph.llm.common import running_totals, written
 
-LENGTH, QUANTUM, PACK_TOKENS, PARTS = 1024, 128, 2_000_000, 8
-_NEIGHBOURS = re.compile(r"\s\s|^\s|\s\Z")
+LENGTH, QUANTUM, PACK_TOKENS = 1024, 128, 2_000_000
+#: Queues, whose table is broadcast; points at which the time of the mix is measured.
+MOST_QUEUES, POINTS = 50_000, 64
 
 
 class Encoder:
     """Ids of a byte-level BPE file of the `tokenizers` library, as little-endian 16-bit numbers.
 
-    Parts between single spaces are split alike wherever they stand, so each is encoded once and kept. The same merges
-    run through `tiktoken`, which is some five times as fast; a text with a special token's string goes to
-    `tokenizers` itself.
+    The same merges run through `tiktoken`, which takes a fifth of the time; a text with a special token's string goes
+    to `tokenizers` itself.
     """
 
-    MOST = 300_000
-
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
@@ -52,26 +58,10 @@ class Encoder:
         ranks = {bytes(shown[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("read", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special)) or r"\Zx")
-        self.kept: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         if self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if not text or _NEIGHBOURS.search(text):
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        kept = self.kept
-        if len(kept) > self.MOST:
-            kept.clear()
-        try:
-            return self._plain(first) + b"".join([kept[x] for x in rest])
-        except KeyError:
-            for x in rest:
-                if x not in kept:
-                    kept[x] = self._plain(" " + x)
-            return self._plain(first) + b"".join([kept[x] for x in rest])
-
-    def _plain(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), dtype="<u2").tobytes()
 
 
@@ -87,15 +77,18 @@ def encoder(path: str | None) -> Encoder:
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, n, ids): n 16-bit ids with the closing 0."""
+    """(doc_id, source, n, row, ids): n 16-bit ids with the closing 0; row: a number of its own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(path)
+        run, row = encoder(path), TaskContext.get().partitionId() << 40
         for b in batches:
             ids = [run(t or "") + b"\0\0" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
+            columns = [b.column("doc_id"), b.column("source"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.binary())]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n", "row", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("(none)")).alias("source"), "text").mapInArrow(encode, "doc_id long, source string, n long, ids binary")
+    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("(none)")).alias("source"), "text")
+    return plain.mapInArrow(encode, "doc_id long, source string, n long, row long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -107,10 +100,11 @@ def window_sizes(total: int, length: int) -> list[int]:
 
 
 def served(waiting: list[int], share: np.ndarray, credit: np.ndarray, length: int, quantum: int) -> list[tuple[int, int, int, int]]:
-    """(source, tokens, window, offset) of each service, until all queues are empty."""
+    """(queue, tokens, window, offset) of each service, until all queues are empty."""
     left, credit, out, turn, k = np.array(waiting), credit.astype(float).copy(), [], 0, len(waiting)
     for w, size in enumerate(window_sizes(sum(waiting), length)):
-        credit += share * size
+        alive = np.where(left > 0, share, 0.0)
+        credit += size * (alive / alive.sum() if alive.sum() > 0 else (left > 0) / max(1, (left > 0).sum()))
         room = size
         for i in range(k):
             s = (turn + i) % k
@@ -131,21 +125,27 @@ def served(waiting: list[int], share: np.ndarray, credit: np.ndarray, length: in
     return out
 
 
+def spread(queue: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a queue by place, copies of a document as far apart as may be: round by round, and in each round
+    those with the most copies first."""
+    ordered = queue.sort_values(["place", "row"], kind="stable")
+    same = ordered.groupby("doc_id", dropna=False, sort=False)
+    ordered = ordered.assign(nth=same.cumcount(), copies=-same["row"].transform("size"))
+    return ordered.sort_values(["nth", "copies", "place", "row"], kind="stable")
+
+
 def _packer(length: int, quantum: int):
     def pack(docs: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({c.split()[0]: [] for c in PIECES.split(", ")})
-        docs = docs.sort_values(["source", "doc_id"], kind="stable")
-        queues = [q for _, q in docs.groupby("source", sort=True)]
-        names = [q.source.iloc[0] for q in queues]
-        told = carried.set_index("source")
-        share = told.share.reindex(names).fillna(0).to_numpy()
-        share = share / share.sum() if share.sum() > 0 else np.full(len(names), 1 / len(names))
-        turns = served([int(q.n.sum()) for q in queues], share, told.credit.reindex(names).fillna(0).to_numpy(), length, quantum)
+        queues = [spread(q) for _, q in docs.groupby("queue", sort=True)]
+        names = [q.queue.iloc[0] for q in queues]
+        told = carried.set_index("queue")
+        turns = served([int(q.n.sum()) for q in queues], told.share.reindex(names).fillna(0).to_numpy(), told.credit.reindex(names).fillna(0).to_numpy(), length, quantum)
         pack_id, parts = int(docs.pack.iloc[0]), []
-        by = {s: np.array([t[1:] for t in turns if t[0] == s]) for s in range(len(queues))}
+        turns = np.array(turns)
         for s, q in enumerate(queues):
-            n, took = q.n.to_numpy(), by[s]
+            n, took = q.n.to_numpy(), turns[turns[:, 0] == s, 1:]
             ids = np.frombuffer(b"".join(q.ids), dtype="<u2").astype("<u4")
             ends, cuts = np.cumsum(n), np.cumsum(took[:, 0])
             stops = np.union1d(ends, cuts)
@@ -154,33 +154,67 @@ def _packer(length: int, quantum: int):
             parts.append(pd.DataFrame({
                 "doc_id": q.doc_id.to_numpy()[d], "start": starts - (ends - n)[d], "length": stops - starts,
                 "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(starts, stops, strict=True)], "doc_tokens": n[d],
-                "sequence_id": (pack_id << 32) + took[t, 1], "offset": took[t, 2] + starts - (cuts - took[:, 0])[t], "source": names[s],
+                "sequence_id": (pack_id << 32) + took[t, 1], "offset": took[t, 2] + starts - (cuts - took[:, 0])[t], "source": q.source.to_numpy()[d],
             }))
         return pd.concat(parts)
 
     return pack
 
 
-def packed(docs: DataFrame, shares: dict[str, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, path: str | None = None) -> DataFrame:
+def _between(x, xs: list[float], ys: list[float]) -> F.Column:
+    """y of the line through the points (xs ascending, ys), evenly between two of them."""
+    a, b = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
+    k = F.least(F.greatest(F.size(F.filter(a, lambda p: p <= x)), F.lit(1)), F.lit(len(xs) - 1))
+    x0, x1, y0, y1 = F.get(a, k - 1), F.get(a, k), F.get(b, k - 1), F.get(b, k)
+    return y0 + F.when(x1 > x0, (x - x0) / (x1 - x0)).otherwise(F.lit(0.0)) * (y1 - y0)
+
+
+def targets(ids: DataFrame, shares: dict[str, float] | None, exponent: float) -> DataFrame:
+    """(source, queue, total, share): the queues' tokens and target shares, by source."""
+    totals = written(ids.groupBy("source").agg(F.sum("n").alias("total")), "source-tokens")
+    most = totals.orderBy(F.desc("total"), "source").limit(MOST_QUEUES)
+    rest = totals.agg(F.sum("total")).first()[0] or 0
+    most = most.withColumn("queue", F.col("source"))
+    others = rest - (most.agg(F.sum("total")).first()[0] or 0)
+    if others:
+        most = most.union(ids.sparkSession.createDataFrame([(None, others, "(others)")], "source string, total long, queue string"))
+    if shares:
+        given = ids.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "queue string, weight double")
+        most = most.join(given, "queue", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-9)))
+    else:
+        most = most.withColumn("weight", F.pow(F.col("total") / F.lit(float(max(1, rest))), F.lit(exponent)))
+    whole = most.agg(F.sum("weight")).first()[0] or 1.0
+    return written(most.select("source", "queue", "total", (F.col("weight") / whole).alias("share")), "queues")
+
+
+def packed(docs: DataFrame, shares: dict[str, float] | None = None, exponent: float = 1.0, length: int = LENGTH, quantum: int = QUANTUM, path: str | None = None, pack_tokens: int = PACK_TOKENS) -> DataFrame:
     """PIECES: a row for each piece of a document (doc_id, text, source) in a sequence of at most `length` ids.
 
-    shares: target proportions of sources, by default those of all tokens. Once a source is used up, the others fill.
+    shares: target weights of sources, others last; by default the sources' shares of all tokens to the power of
+    `exponent`. Once a source is used up, the others fill in proportion.
     """
     ids = written(tokenised(docs, path), "ids")
-    total = ids.agg(F.sum("n")).first()[0] or 0
-    packs = max(1, -(-total // PACK_TOKENS))
-    dealt = ids.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int"))
-    counts = written(dealt.groupBy("pack", "source").agg(F.sum("n").alias("n")), "pack-counts")
-    spark = docs.sparkSession
-    if shares:
-        share = spark.createDataFrame(list(shares.items()), "source string, share double")
-    else:
-        share = counts.groupBy("source").agg((F.sum("n") / F.lit(float(max(1, total)))).alias("share"))
-    sizes = counts.groupBy("pack").agg(F.sum("n").alias("size"))
-    here = sizes.select("pack", "size", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    parts = share.groupBy(F.pmod(F.xxhash64("source"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("source", "share")).alias("all"))
-    grid = here.join(parts, "part").select("pack", "size", F.inline("all"))
-    due = grid.join(counts, ["pack", "source"], "left").withColumn("due", F.col("share") * F.col("size") - F.coalesce("n", F.lit(0)))
-    before = W.partitionBy("source").orderBy("pack").rowsBetween(W.unboundedPreceding, -1)
-    carried = due.select("pack", "source", "share", F.coalesce(F.sum("due").over(before), F.lit(0.0)).alias("credit"))
-    return dealt.groupBy("pack").cogroup(carried.groupBy("pack")).applyInPandas(_packer(length, quantum), PIECES)
+    queues = targets(ids, shares, exponent)
+    ends = F.col("total") / F.col("share")
+    last = queues.agg(F.max(ends), F.percentile_approx(ends, [i / POINTS for i in range(POINTS + 1)])).first()
+    times = sorted({0.0, *(last[1] or []), last[0] or 1.0})
+    # tokens used at each of the times
+    used = list(queues.agg(*[F.sum(F.least(F.col("total").cast("double"), F.col("share") * t)) for t in times]).first()) if last[0] else [0.0] * len(times)
+    packs = max(1, -(-int(used[-1]) // pack_tokens))
+    named = F.broadcast(queues.filter("source is not null").select("source", "queue"))  # MOST_QUEUES
+    narrow = ids.select("row", "source", "n").join(named, "source", "left").withColumn("queue", F.coalesce("queue", F.lit("(others)")))
+    places = running_totals(narrow.select("row", "queue", "n").withColumn("h", F.xxhash64(F.lit(5), "row")), ["queue", "h", "row"], "n", "before")
+    places = written(places, "places")
+    first = F.broadcast(places.groupBy("queue").agg(F.min("before").alias("base")))  # MOST_QUEUES
+    told = F.broadcast(queues.select("queue", "total", "share"))  # MOST_QUEUES
+    places = places.join(first, "queue").join(told, "queue").withColumn("place", F.col("before") - F.col("base"))
+    at = _between(F.col("place") / F.col("share"), times, used)
+    places = places.withColumn("pack", F.least(F.lit(packs - 1), F.floor(at / pack_tokens)).cast("int"))
+    places = written(places.select("row", "queue", "place", "pack", "n", "total", "share"), "packs")
+    # what a queue has before its first row in a pack is what earlier packs hold of it
+    carried = places.groupBy("pack", "queue", "total", "share").agg(F.min("place").alias("gone"))
+    due = F.least(F.col("total").cast("double"), F.col("share") * _between(F.col("pack") * float(pack_tokens), used, times))
+    carried = carried.select(F.col("pack").alias("pack"), F.col("queue").alias("queue"), F.col("share").alias("share"), (due - F.col("gone")).alias("credit"))
+    # `packs` has three numbers a row and is broadcast while small; beyond, the ids are shuffled once more
+    rows = ids.select("doc_id", "source", "n", "row", "ids").join(places.select("row", "queue", "place", "pack"), "row")
+    return rows.groupBy("pack").cogroup(carried.groupBy("pack")).applyInPandas(_packer(length, quantum), PIECES)

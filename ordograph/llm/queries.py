@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ordograph.llm import learned_partitions, licences, line_chunks, mixing, ngram_join, packing, pii, quality, spotsigs, substrings
 from ordograph.llm.common import table
 
+#: Target shares of op7's sources: their shares of all tokens to this power, which lifts small sources.
+OP7_EXPONENT = 0.7
+
 
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -34,7 +37,7 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), exponent=OP7_EXPONENT)
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
