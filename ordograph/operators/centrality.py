@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ordograph.functions import kernels
 from ordograph.operators.graph import adjacency, degrees, simple, vertices
 from ordograph.operators.traverse import distances, per_instance
-from ordograph.plans.storage import written
+from ordograph.plans.storage import discard, written
 
 REGISTRY: dict[str, tuple] = {}
 
@@ -84,10 +84,14 @@ eigenvector_dense = _kernel(kernels.eigenvector_dense)
 
 
 def _steps(edges: DataFrame, rounds: int, start, step, tol: float | None) -> DataFrame:
-    """Repeated products of the adjacency table with a vertex table; every fourth round is written."""
+    """Repeated products of the adjacency table with a vertex table; every fourth round is written.
+
+    With tol, ends once the values of each instance move by less than n * tol in a round, in all; if that takes more than
+    `rounds` rounds, an error says so rather than values that haven't converged. Without, exactly `rounds` rounds.
+    """
     adj = written(adjacency(simple(edges)), "adjacency")
     every = written(vertices(edges).join(degrees(simple(edges)), ["instance", "v"]).join(_sizes(edges), "instance"), "vertices")
-    now = every.withColumn("x", start)
+    now, before, converged = every.withColumn("x", start), None, tol is None
     for r in range(1, rounds + 1):
         flow = adj.join(now.select("instance", F.col("v").alias("src"), "x", "degree"), ["instance", "src"])
         came = flow.groupBy("instance", F.col("dst").alias("v")).agg(F.sum("x").alias("plain"), F.sum(F.col("x") / F.col("degree")).alias("shared"))
@@ -95,10 +99,15 @@ def _steps(edges: DataFrame, rounds: int, start, step, tol: float | None) -> Dat
         new = step(new)
         if r % 4 == 0 or r == rounds:
             new = written(new, "step")
+            if before is not None:
+                discard(before)
+            before = new
             if tol is not None and new.groupBy("instance").agg(F.sum(F.abs(F.col("x") - F.col("old"))).alias("moved"), F.first("n").alias("n")).filter(F.col("moved") >= F.col("n") * tol).isEmpty():
-                now = new.select("instance", "v", "degree", "n", "x")
+                now, converged = new.select("instance", "v", "degree", "n", "x"), True
                 break
         now = new.select("instance", "v", "degree", "n", "x")
+    if not converged:
+        raise RuntimeError(f"not converged to {tol} after {rounds} rounds")
     return now.select("instance", "v", F.col("x").alias("value"))
 
 
@@ -107,16 +116,16 @@ def _unit(df: DataFrame) -> DataFrame:
     return df.join(norm, "instance").withColumn("x", F.col("x") / F.col("norm")).drop("norm")
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 1000, tol: float | None = 1e-6) -> DataFrame:
     return _steps(edges, rounds, 1 / F.col("n"), lambda d: d.withColumn("x", alpha * F.col("shared") + (1 - alpha) / F.col("n")), tol)
 
 
-def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, rounds: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, rounds: int = 2000, tol: float | None = 1e-6) -> DataFrame:
     got = _steps(edges, rounds, F.lit(0.0), lambda d: d.withColumn("x", alpha * F.col("plain") + beta), tol)
     return _unit(got.withColumnRenamed("value", "x")).select("instance", "v", F.col("x").alias("value"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float | None = 1e-6) -> DataFrame:
     """By powers of A + I, which doesn't swing on bipartite graphs."""
     return _steps(edges, rounds, 1 / F.sqrt("n"), lambda d: _unit(d.withColumn("x", F.col("plain") + F.col("old"))), tol)
 

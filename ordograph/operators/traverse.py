@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ordograph.functions import kernels
 from ordograph.operators.graph import adjacency, degrees, simple, vertices
-from ordograph.plans.storage import written
+from ordograph.plans.storage import discard, written
 
 #: Sources that a task of distances() holds beside the instance's edges.
 BLOCK = 64
@@ -33,15 +33,18 @@ def bfs(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(instance, v, component): the smallest vertex of each vertex's component, by labels that travel and jump."""
     adj = written(adjacency(edges).distinct(), "adjacency")
-    now = written(adj.groupBy("instance", F.col("src").alias("v")).agg(F.least("src", F.min("dst")).alias("component")), "labels")
+    kept = written(adj.groupBy("instance", F.col("src").alias("v")).agg(F.least("src", F.min("dst")).alias("component")), "labels")
     while True:
+        now = kept.select("instance", "v", "component")
         near = adj.join(now.withColumnRenamed("v", "dst"), ["instance", "dst"]).groupBy("instance", F.col("src").alias("v")).agg(F.min("component").alias("near"))
         step = now.join(near, ["instance", "v"]).select("instance", "v", F.least("component", "near").alias("c"), F.col("component").alias("was"))
         up = now.select("instance", F.col("v").alias("c"), F.col("component").alias("up"))
         step = written(step.join(up, ["instance", "c"], "left").select("instance", "v", F.least("c", F.coalesce("up", "c")).alias("component"), "was"), "labels")
-        now = step.select("instance", "v", "component")
+        discard(kept)
         if step.filter("component <> was").isEmpty():
-            return now
+            discard(adj)
+            return step.select("instance", "v", "component")
+        kept = step
 
 
 def component_sizes(edges: DataFrame) -> DataFrame:
