@@ -1,10 +1,12 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts (copies count once) are sets of five-word shingles. Banded MinHash keys link texts into candidate clusters;
-a cluster is compared in blocks of at most `BLOCK` texts. In a block pair, MinHash values are compared step by step
+Texts (copies count once) are sets of five-word shingles with MinHash values; bands of these deal texts into buckets, of
+which those with the same members count once. In a bucket, all pairs have their MinHash values compared step by step,
 and a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls
-below `TOLERANCE`; the pairs left are verified exactly on the shingles themselves. A task returns counts of links and
-a spanning forest, never its pairs.
+below `TOLERANCE`. Pairs left link texts into clusters; a bucket returns a spanning forest of them, and a large one is
+compared in pairs of blocks. No text has moved so far. A cluster is then verified: in pairs of blocks of at most BLOCK
+texts and about BLOCK_BYTES, all pairs go through the same test on other hashes, and those left are compared exactly on
+the shingles themselves. A task returns counts of links and a spanning forest, never its pairs.
 
 A text of one to four words has one shingle, all its words; texts without a word are linked with nothing, but equal
 texts are one class as ever. A null text counts as empty. Rows that share a doc_id count as one document, whose links
@@ -25,7 +27,8 @@ from ordograph.llm.common import components, written
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: A pair at the threshold shares no band with a probability of (1 - 0.8 ** 7) ** 36 = 2e-4.
 BANDS, ROWS = 36, 7
-BLOCK, STEP, STEPS = 512, 32, 8
+#: Texts and bytes in a block; MinHash values in a step, and steps: all values of all bands.
+BLOCK, BLOCK_BYTES, STEP, STEPS = 512, 32_000_000, 36, 7
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,16 +50,18 @@ def _shingle_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys, and the upper halves of the MinHash values (`low`, 4 bytes each)."""
     by = factors(BANDS * ROWS, 11)
     weights = factors(ROWS, 12)
     which = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
     for b in batches:
         lists = b.column("words")
         flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-        keys = []
+        keys, lows = [], []
         for s, e in zip(ends[:-1], ends[1:], strict=True):
             if s == e:
                 keys.append(None)
+                lows.append(None)
                 continue
             x = _shingle_hashes(flat[s:e])
             low = np.full(len(by), np.iinfo(np.uint64).max)
@@ -64,7 +69,9 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum(low, (x[at : at + 256, None] * by).min(axis=0), out=low)
             band = (low.reshape(BANDS, ROWS) >> np.uint64(7)) * weights
             keys.append(mixed(np.bitwise_xor.reduce(mixed(band), axis=1) + which).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sha", "bands"])
+            lows.append((low >> np.uint64(32)).astype("<u4").tobytes())
+        columns = [b.column("doc_id"), b.column("sha"), b.column("size"), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "size", "bands", "low"])
 
 
 def word_hashes(text) -> F.Column:
@@ -124,11 +131,45 @@ def _compared(left: list[np.ndarray], right: list[np.ndarray], same: bool, thres
     a = signed(left)
     b = a if same else signed(right)
     na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    i, j = _likely(a, b, same, needs)
+    sized = (np.minimum(na[i], nb[j]) >= threshold * np.maximum(na[i], nb[j]) - 1e-9) & (na[i] > 0) & (nb[j] > 0)
+    i, j = i[sized], j[sized]
+    found = np.zeros(len(i), dtype=bool)
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for lo, hi in zip(starts, np.append(starts[1:], len(i)) if len(i) else starts, strict=True):
+        mine = left[i[lo]]
+        for at in range(lo, hi, 256):
+            others = [right[x] for x in j[at : min(at + 256, hi)]]
+            flat, sizes = np.concatenate(others), np.array([len(x) for x in others])
+            where = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            both = np.add.reduceat(mine[where] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+            found[at : at + len(others)] = both >= threshold * (len(mine) + sizes - both) - 1e-9
+    return i[found], j[found]
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that pairs (i, j) connect it with."""
+    root = np.arange(n)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return np.array([top(x) for x in range(n)], dtype=np.int64)
+
+
+def _likely(a: np.ndarray, b: np.ndarray, same: bool, needs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of a, j of b; i < j if both are the same) of MinHash rows that pass every step."""
     equal = np.zeros((len(a), len(b)), dtype=np.uint16)
     for k in range(STEP):
         equal += a[:, k][:, None] == b[:, k][None, :]
     stays = equal >= needs[0]
-    stays &= (np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :]) - 1e-9) & (na[:, None] > 0) & (nb[None, :] > 0)
     if same:
         stays &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
     i, j = np.nonzero(stays)
@@ -138,17 +179,54 @@ def _compared(left: list[np.ndarray], right: list[np.ndarray], same: bool, thres
         score = score + np.concatenate([(a[i[p : p + 65536], cols] == b[j[p : p + 65536], cols]).sum(axis=1) for p in range(0, len(i), 65536)] or [score])
         keep = score >= needs[step]
         i, j, score = i[keep], j[keep], score[keep]
-    found = np.zeros(len(i), dtype=bool)
-    starts = np.flatnonzero(np.diff(i, prepend=-1))
-    for lo, hi in zip(starts, np.append(starts[1:], len(i)) if len(i) else starts, strict=True):
-        mine = left[i[lo]]
-        for at in range(lo, hi, 256):
-            others = [right[x] for x in j[at : min(at + 256, hi)]]
-            flat, sizes = np.concatenate(others), np.array([len(x) for x in others])
-            where = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-            both = np.add.reduceat(mine[where] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
-            found[at : at + len(others)] = both >= threshold * (len(mine) + sizes - both) - 1e-9
-    return i[found], j[found]
+    return i, j
+
+
+def _linked(needs: list[int]):
+    """Spanning forests of the likely pairs of each (key, one, two), whose rows come one after the other."""
+
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        cols = [table.column(c).to_numpy() for c in ("key", "one", "two", "part", "doc_id")]
+        key, one, two, part, ids = cols
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype="<u4").reshape(len(ids), -1)
+        heads = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)))
+        sizes = np.diff(np.append(heads, len(ids)))
+        a, b = [], []
+        pairs = heads[(sizes == 2) & (one[heads] == two[heads])]
+        if len(pairs):
+            matches = (low[pairs] == low[pairs + 1]).reshape(len(pairs), STEPS, STEP).sum(axis=2).cumsum(axis=1)
+            good = pairs[(matches >= np.array(needs)).all(axis=1)]
+            a.append(ids[good])
+            b.append(ids[good + 1])
+        for s, n in zip(heads, sizes, strict=True):
+            if n < 2 or (n == 2 and one[s] == two[s]):
+                continue
+            side = part[s : s + n]
+            p, q = s + np.flatnonzero(side == one[s]), s + np.flatnonzero(side == two[s])
+            i, j = _likely(low[p], low[q], one[s] == two[s], needs)
+            root = _forest(n, p[i] - s, q[j] - s)
+            own = np.flatnonzero(root != np.arange(n))
+            a.append(ids[s + own])
+            b.append(ids[s + root[own]])
+        empty = np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (a, b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            names = [table.column(c).to_numpy() for c in ("key", "one", "two")]
+            last = np.flatnonzero(np.any([x != x[-1] for x in names], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            if cut:
+                yield groups(table.slice(0, cut))
+            waiting = table.slice(cut)
+        if waiting is not None and waiting.num_rows:
+            yield groups(waiting)
+
+    return run
 
 
 def _block_pair(threshold: float, needs: list[int]):
@@ -162,49 +240,49 @@ def _block_pair(threshold: float, needs: list[int]):
         i, j = p[i], q[j]
         apart = ids[i] != ids[j]
         i, j = i[apart], j[apart]
-        root = np.arange(len(ids))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
+        root = _forest(len(ids), i, j)
         links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
         own = np.flatnonzero(links)
-        return pd.DataFrame({"doc_id": ids[own], "links": links[own], "peer": ids[[top(x) for x in own]] if len(own) else ids[:0]})
+        return pd.DataFrame({"doc_id": ids[own], "links": links[own], "peer": ids[root[own]]})
 
     return compare
 
 
+def likely_clusters(firsts: DataFrame, needs: list[int]) -> DataFrame:
+    """(doc_id, root): texts (doc_id, bands, low) connected by pairs that the posterior test leaves."""
+    keys = written(firsts.select("doc_id", F.explode("bands").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("z"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.min("doc_id").alias("a")).filter("n > 1")
+    shared = written(shared.groupBy("n", "z", "y", "a").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    members = written(keys.join(shared, "key").select("key", "n", "doc_id"), "members").join(firsts.select("doc_id", "low"), "doc_id")
+    members = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "doc_id", "low")
+    sorted_rows = spread.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    edges = written(sorted_rows.mapInArrow(_linked(needs), "a long, b long").distinct(), "likely")
+    return components(edges, "clusters").withColumnRenamed("node", "doc_id")
+
+
 def _classes(plain: DataFrame, threshold: float, tolerance: float, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sha) of each row and (sha, text_id, class_id, n_links) of each text; by_text: doc_id stands for the
     text, so rows that share it are compared once."""
-    keyed = plain.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), word_hashes(F.col("text")).alias("words"))
-    keyed = written(keyed.mapInArrow(_band_keys, "doc_id long, sha binary, bands array<long>"), "bands")
+    needs = fewest_matches(threshold, tolerance)
+    keyed = plain.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("size"), word_hashes(F.col("text")).alias("words"))
+    keyed = written(keyed.mapInArrow(_band_keys, "doc_id long, sha binary, size long, bands array<long>, low binary"), "bands")
     classes = written(keyed.groupBy("sha").agg(F.min("doc_id").alias("text_id")), "texts")
     firsts = keyed.filter("bands is not null")
     firsts = firsts.dropDuplicates(["doc_id"]) if by_text else firsts.join(classes, (keyed.doc_id == classes.text_id) & (keyed.sha == classes.sha), "left_semi")
-    keys = written(firsts.select("doc_id", F.explode("bands").alias("key")), "keys")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a <> z").select("key", "a")
-    # a row for each text and key, less those that link the same two texts again
-    linked = keys.join(shared, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    clusters = written(components(linked, "clusters").withColumnRenamed("node", "doc_id"), "cluster")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+    clusters = written(likely_clusters(firsts, needs), "cluster")
+    measured = clusters.join(keyed.groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id")
+    sizes = written(measured, "measured").groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
     dealt = (
         clusters.join(sizes, "root")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     )
     dealt = written(dealt, "dealt")  # of known size, so that a join broadcasts it while it is small, rather than shuffle all texts
     text_of = plain.join(dealt, "doc_id")
     text_of = text_of.dropDuplicates(["doc_id"]) if by_text else text_of
     spread = text_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    needs = fewest_matches(threshold, tolerance)
     links = spread.select("root", "one", "two", "block", "doc_id", "text").groupBy("root", "one", "two").applyInPandas(_block_pair(threshold, needs), "doc_id long, links long, peer long")
     links = written(links, "links")
     near = components(links.select(F.col("doc_id").alias("a"), F.col("peer").alias("b")), "near")

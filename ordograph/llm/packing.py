@@ -193,7 +193,7 @@ def packed(docs: DataFrame, shares: dict[str, float] | None = None, exponent: fl
     shares: target weights of sources, others last; by default the sources' shares of all tokens to the power of
     `exponent`. Once a source is used up, the others fill in proportion.
     """
-    ids = written(tokenised(docs, path), "ids")
+    ids = written(tokenised(docs, path), "ids", compression="zstd")
     queues = targets(ids, shares, exponent)
     ends = F.col("total") / F.col("share")
     last = queues.agg(F.max(ends), F.percentile_approx(ends, [i / POINTS for i in range(POINTS + 1)])).first()
@@ -210,11 +210,11 @@ def packed(docs: DataFrame, shares: dict[str, float] | None = None, exponent: fl
     places = places.join(first, "queue").join(told, "queue").withColumn("place", F.col("before") - F.col("base"))
     at = _between(F.col("place") / F.col("share"), times, used)
     places = places.withColumn("pack", F.least(F.lit(packs - 1), F.floor(at / pack_tokens)).cast("int"))
-    places = written(places.select("row", "queue", "place", "pack", "n", "total", "share"), "packs")
     # what a queue has before its first row in a pack is what earlier packs hold of it
-    carried = places.groupBy("pack", "queue", "total", "share").agg(F.min("place").alias("gone"))
+    carried = written(places.groupBy("pack", "queue", "total", "share").agg(F.min("place").alias("gone")), "pack-queues")
     due = F.least(F.col("total").cast("double"), F.col("share") * _between(F.col("pack") * float(pack_tokens), used, times))
     carried = carried.select(F.col("pack").alias("pack"), F.col("queue").alias("queue"), F.col("share").alias("share"), (due - F.col("gone")).alias("credit"))
-    # `packs` has three numbers a row and is broadcast while small; beyond, the ids are shuffled once more
-    rows = ids.select("doc_id", "source", "n", "row", "ids").join(places.select("row", "queue", "place", "pack"), "row")
+    # three numbers a row, broadcast while Spark's limit allows; beyond, the ids are shuffled once more
+    slim = written(places.select("row", "place", "pack"), "packs")
+    rows = ids.select("doc_id", "source", "n", "row", "ids").join(slim, "row").join(named, "source", "left").withColumn("queue", F.coalesce("queue", F.lit("(others)")))
     return rows.groupBy("pack").cogroup(carried.groupBy("pack")).applyInPandas(_packer(length, quantum), PIECES)

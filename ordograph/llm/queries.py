@@ -52,7 +52,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.joined_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's join: the class and links of each document by the likeness of fingerprints."""
+    return spotsigs.document_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +69,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_learned_partitions, op2_ngram_join, op3_temperature_mixing, op4_licences, op5_private_data, op6_recompression,
-        op7_mixture_packing, op8_line_chunks, op9_quality, op10_spotsigs, pipeline,
+        op7_mixture_packing, op8_line_chunks, op9_quality, op10_spotsigs, pipeline, spotsigs_classes,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licences": licences.oracle(), "op6_recompression": substrings.ORACLE, "op8_line_chunks": line_chunks.ORACLE, "op10_spotsigs": spotsigs.ORACLE}
+    return {"op4_licences": licences.oracle(), "op6_recompression": substrings.ORACLE, "op8_line_chunks": line_chunks.ORACLE, "op10_spotsigs": spotsigs.ORACLE, "spotsigs_classes": spotsigs.CLASSES_ORACLE}

@@ -8,7 +8,7 @@ hash, so that any engine can check them.
 
 near_classes() joins a corpus by likeness. Sets of two sizes can only reach the threshold if they are in one length
 class or in neighbouring ones, and share one of their first n - ceil(t n) + 1 signatures in any common order: ascending,
-with those that a sample shows to be frequent last. So sets are dealt by (signature, length class), a set as a guest in
+by their frequency in a sample, then ascending. So sets are dealt by (signature, length class), a set as a guest in
 the next class too; dealings with the same members count once. A frequent one is cut into blocks, compared pair by pair,
 each pair of sets only in its first dealing, by size first and then exactly. A pair of blocks returns counts and a
 spanning forest, never its pairs.
@@ -28,8 +28,8 @@ from ordograph.llm.common import components, written
 from ordograph.plans.storage import numbered
 
 CHAIN, LOOK, THRESHOLD = 2, 10, 0.8
-#: Sets of which frequent signatures are learned, and most of these; sets in a block.
-SAMPLE, MOST_FREQUENT, BLOCK = 20_000, 4096, 96
+#: Sets of which frequent signatures are learned; places of the sketch of their counts (a byte each); sets in a block.
+SAMPLE, SKETCH, BLOCK = 100_000, 1 << 20, 96
 #: Rows in a range of with_next(), and marks by which ranges are cut.
 RANGE_ROWS, MARKS = 2000, 256
 
@@ -155,10 +155,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     own = signed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     kinds = own.select("doc_id", "s", _kind("s").alias("kind")).groupBy("kind").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
     kinds = written(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "doc_id", F.size("s").alias("size"), "s"), "kinds")
-    sample = kinds.orderBy(F.xxhash64("kind"), "kind").limit(SAMPLE).select(F.explode("s").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
-    often = [r["sig"] for r in sample.filter("n >= 20").orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).collect()]
-    last = lambda x: x.isin(often) if often else F.lit(False)
-    ordered = F.concat(F.filter("s", lambda x: ~last(x)), F.filter("s", lambda x: last(x)))
+    sample = kinds.orderBy(F.xxhash64("kind"), "kind").limit(SAMPLE).select(F.explode("s").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    sample = sample.groupBy(F.pmod("sig", F.lit(SKETCH)).alias("place")).agg(F.least(F.max("n"), F.lit(255)).alias("n"))
+    sketch = bytearray(SKETCH)
+    for r in sample.toLocalIterator():  # SKETCH rows at most
+        sketch[r["place"]] = r["n"]
+    level = lambda x: F.substring(F.lit(sketch), F.pmod(x, F.lit(SKETCH)) + 1, F.lit(1))
+    ordered = F.transform(F.sort_array(F.transform("s", lambda x: F.struct(level(x).alias("n"), x.alias("sig")))), lambda x: x["sig"])
     share = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
     first = kinds.select("id", "size", F.explode(F.slice(ordered, F.lit(1), F.col("size") - share + 1)).alias("sig"))
     first = written(first, "first-signatures")
@@ -232,13 +235,15 @@ def fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame
     )
     if classes is None:
         return out.drop("kind")
-    # only sets that more than one row, or another set, belongs to need the join; it is broadcast while it is small
     named = classes.select(F.col("kind").alias("_kind"), "class_id", "n_links")
     return out.join(named, F.col("kind") == F.col("_kind"), "left").drop("kind", "_kind")
 
 
-def joined_fingerprints(docs: DataFrame) -> DataFrame:
-    return fingerprints(docs, written(near_classes(docs), "spot-named"))
+def document_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, length_class) for each row of docs."""
+    classes = written(near_classes(docs), "spot-named")
+    own = signed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", length_class(F.size("s")).alias("length_class"), _kind("s").alias("kind"))
+    return own.join(classes, "kind").select("doc_id", "class_id", "n_links", "length_class")
 
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in STOPS)
@@ -258,13 +263,23 @@ def _sql_likeness(a: str, b: str) -> str:
     return f"cast({both} as double) / (len({a}) + len({b}) - {both})"
 
 
-ORACLE = f"""
+_TEXTS = f"""
 with recursive stop as (select [{_STOP_LIST}] stops),
 t as (select doc_id, coalesce(text, '') text from documents),
+"""
+
+ORACLE = f"""{_TEXTS}
 n as (select doc_id, text, row_number() over (order by doc_id, text) k,
         coalesce(lead(text) over (order by doc_id, text), first_value(text) over (order by doc_id, text)) following from t),
 d as (select *, substr(text, 1, length(text) - length(text) // 4) || substr(following, 1, length(text) // 4) edited from n),
-x as materialized (select d.*, {_sql_signatures('text')} s, {_sql_signatures('edited')} es, {_sql_signatures('following')} ns from d, stop),
+x as (select d.*, {_sql_signatures('text')} s, {_sql_signatures('edited')} es, {_sql_signatures('following')} ns from d, stop)
+select doc_id, length(text) n_chars, sha256(edited) edited_sha256, array_to_string(s, '') fingerprint, array_to_string(es, '') edited_fingerprint,
+       {_sql_likeness('s', 'es')} near_edited, {_sql_likeness('s', 'ns')} near_next, cast(floor(ln(len(s)) / ln(1.25) + 1e-9) as integer) length_class
+from x
+"""
+
+CLASSES_ORACLE = f"""{_TEXTS}
+x as materialized (select t.*, {_sql_signatures('text')} s from t, stop),
 kind as materialized (select s, min(doc_id) id from x group by s),
 sig as (select id, len(s) n, unnest(s) g from kind),
 link as materialized (select a.id, b.id near from sig a join sig b on a.g = b.g and a.id <> b.id group by a.id, a.n, b.id, b.n
@@ -272,8 +287,6 @@ link as materialized (select a.id, b.id near from sig a join sig b on a.g = b.g
 reach as (select id, id root from kind union select link.near, root from reach join link on reach.id = link.id),
 class as (select id, min(root) class_id from reach group by id),
 links as (select id, count(*) n_links from link group by id)
-select doc_id, length(text) n_chars, sha256(edited) edited_sha256, array_to_string(x.s, '') fingerprint, array_to_string(es, '') edited_fingerprint,
-       {_sql_likeness('x.s', 'es')} near_edited, {_sql_likeness('x.s', 'ns')} near_next,
-       cast(floor(ln(len(x.s)) / ln(1.25) + 1e-9) as integer) length_class, class_id, coalesce(n_links, 0) n_links
+select doc_id, class_id, coalesce(n_links, 0) n_links, cast(floor(ln(len(x.s)) / ln(1.25) + 1e-9) as integer) length_class
 from x join kind on x.s = kind.s join class on kind.id = class.id left join links on links.id = kind.id
 """
