@@ -2,8 +2,11 @@
 
 A bounded sample of distinct vectors gets a neighbour graph, which recursive spectral bisection at the median cuts
 into partitions of equal size, refined by swaps. A small network learns, from the partitions of each sample vector's
-neighbours, which partitions hold a vector's neighbours. Every row is put into its most probable partition; a query
-visits its most probable ones and is compared there with all vectors, in double precision.
+neighbours, which partitions hold a vector's neighbours; its outputs are shifted until the rows it puts into each
+partition are as many. Every row is put into its most probable partition. A partition of more than LEAF_ROWS rows gets
+partitions and a network of its own, from a bounded sample of its rows, up to LEVELS levels; so partitions grow in
+number with the table, not in size. A query visits its most probable ones, by the product of the levels' probabilities,
+and is compared there with all vectors, in double precision. How many it visits is measured on sample vectors.
 
 Vectors that are null, zero, hold a null or non-finite component, or haven't the most frequent length (the smaller of
 two) take no part. Equal vectors are kept once with their K + 1 smallest ids, which is all that a query can return of
@@ -13,6 +16,7 @@ further partitions until they hold more than K vectors. Extra columns play no pa
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +24,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ordograph.llm.common import written
+from ordograph.llm.common import discard, written
 
 K = 10
-#: Most sample vectors; fewest of them for each partition; most partitions; neighbours that a target counts.
-SAMPLE, EACH, MOST_PARTITIONS, COUNTED = 4096, 96, 32, 30
+#: Most sample vectors; fewest of them for each partition; most partitions of a network; neighbours a target counts.
+SAMPLE, EACH, FAN, COUNTED = 4096, 96, 32, 30
+#: Rows beyond which a partition is cut again, and levels: up to FAN ** LEVELS partitions, whose networks are broadcast.
+LEAF_ROWS, LEVELS = 100_000, 3
 #: Share of sample vectors held back; share of their neighbours that the partitions a query visits must hold.
 HELD_BACK, RECALL = 8, 0.95
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -116,30 +122,81 @@ def logits(net: dict, x: np.ndarray) -> np.ndarray:
     return np.maximum((x - net["mean"]) / net["scale"] @ net["p"][0] + net["p"][1], 0) @ net["p"][2] + net["p"][3]
 
 
-def fit(sample: np.ndarray) -> dict:
-    """The network, and how many partitions a query visits: as few as hold RECALL of the neighbours of the sample
-    vectors held back, which played no part in the fit."""
-    parts = int(min(MOST_PARTITIONS, len(sample) // EACH))
+def fit(sample: np.ndarray) -> dict | None:
+    """A network, or None for a sample of less than two partitions."""
+    parts = int(min(FAN, len(sample) // EACH))
     if parts < 2:
-        return {"parts": 1, "visits": 1}
+        return None
     back = np.arange(len(sample)) % HELD_BACK == 0
-    own, held = sample[~back], sample[back]
+    own = sample[~back]
     near = neighbour_graph(own, min(COUNTED, len(own) - 1))
     part = balanced_partition(near[:, :K], parts)
     target = np.zeros((len(own), parts))
     np.add.at(target, (np.repeat(np.arange(len(own)), near.shape[1] + 1), part[np.column_stack([np.arange(len(own)), near])].ravel()), 1)
-    net = {"parts": parts} | train(own, target / target.sum(axis=1, keepdims=True))
+    net = {"parts": parts, "shift": np.zeros(parts)} | train(own, target / target.sum(axis=1, keepdims=True))
+    z = logits(net, sample)
+    for step in range(60):  # until partitions hold as many rows each
+        got = np.bincount((z + net["shift"]).argmax(axis=1), minlength=parts)
+        net["shift"] -= 0.3 / (1 + step / 10) * np.log((got + 1) / (len(sample) / parts + 1))
+    return net
+
+
+def scores(nets: dict[int, dict], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the last partitions, log probability of each row in each). A code's digits, base FAN + 1, are its way."""
+    codes, out = [], []
+
+    def walk(code: int, upto: np.ndarray) -> None:
+        net = nets.get(code)
+        if net is None:
+            codes.append(code)
+            out.append(upto)
+            return
+        z = logits(net, x) + net["shift"]
+        top = z.max(axis=1, keepdims=True)
+        z = z - top - np.log(np.exp(z - top).sum(axis=1, keepdims=True))
+        for k in range(net["parts"]):
+            walk(code * (FAN + 1) + k + 1, upto + z[:, k])
+
+    walk(0, np.zeros(len(x)))
+    return np.array(codes), np.column_stack(out)
+
+
+def placed_codes(nets: dict[int, dict], x: np.ndarray) -> np.ndarray:
+    """Each row's partition: level by level the most probable."""
+    code, level = np.zeros(len(x), dtype=np.int64), set(nets)
+    while level:
+        level = {int(c) for c in np.unique(code)} & set(nets)
+        for c in level:
+            at = np.flatnonzero(code == c)
+            code[at] = c * (FAN + 1) + 1 + (logits(nets[c], x[at]) + nets[c]["shift"]).argmax(axis=1)
+    return code
+
+
+def needed_visits(nets: dict[int, dict], sample: np.ndarray) -> int:
+    """As few partitions as hold RECALL of the neighbours of the sample vectors held back."""
+    if not nets or len(sample) < 2 * HELD_BACK:
+        return 1
+    back = np.arange(len(sample)) % HELD_BACK == 0
+    own, held = sample[~back], sample[back]
+    k = min(K, len(own))
     d = (own * own).sum(axis=1)[None, :] - 2 * held @ own.T
-    true = np.argpartition(d, K - 1, axis=1)[:, :K]
-    place, turn = logits(net, own).argmax(axis=1), np.argsort(np.argsort(-logits(net, held), axis=1), axis=1)
-    turns = np.bincount(np.take_along_axis(turn, place[true], axis=1).ravel(), minlength=parts)
-    return net | {"visits": int(np.searchsorted(np.cumsum(turns) / turns.sum(), RECALL)) + 1}
+    true = np.argpartition(d, k - 1, axis=1)[:, :k]
+    codes, p = scores(nets, held)
+    turn = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1)
+    column = {c: i for i, c in enumerate(codes.tolist())}
+    place = np.array([column[c] for c in placed_codes(nets, own).tolist()])
+    turns = np.bincount(np.take_along_axis(turn, place[true], axis=1).ravel(), minlength=len(codes))
+    return int(np.searchsorted(np.cumsum(turns) / turns.sum(), RECALL)) + 1
 
 
-def _ordered(net: dict, x: np.ndarray, most: int) -> np.ndarray:
-    if net["parts"] == 1:
-        return np.zeros((len(x), 1), dtype=np.int64)
-    return np.argsort(-logits(net, x), axis=1, kind="stable")[:, :most]
+def visited(nets: dict[int, dict], x: np.ndarray, held: dict[int, int], visits: int, k: int) -> list[np.ndarray]:
+    """The partitions of each query: `visits` of them, and further ones while those before hold no more than k vectors."""
+    codes, p = scores(nets, x)
+    rows = np.array([held.get(c, 0) for c in codes.tolist()])
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.cumsum(rows[order], axis=1) - rows[order]
+    keep = (np.arange(len(codes))[None, :] < visits) | (before <= k)
+    return [codes[o[m]] for o, m in zip(order, keep, strict=True)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -180,28 +237,45 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, every: int = 100,
     nth = F.dense_rank().over(W.partitionBy("x").orderBy("vec_id"))
     kinds = written(plain.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("x").agg(F.collect_set("vec_id").alias("ids")), "vectors")
     sample = kinds.select(F.array_min("ids").alias("id"), "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    net = fit(_matrix(sample["x"].combine_chunks()) if sample.num_rows else np.zeros((0, 1)))
-    visits = visits or net["visits"]
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(net)  # SAMPLE and MOST_PARTITIONS bound it
+    sample = _matrix(sample["x"].combine_chunks()) if sample.num_rows else np.zeros((0, 1))
+    spark, root = rows.sparkSession, fit(sample)
+    nets = {0: root} if root else {}
 
-    def place(most: int):
+    def put(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = _ordered(sent.value, _matrix(b.column("x")), most)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(got.astype(np.int32)), pa.list_(pa.int32()))], [*b.schema.names, "parts"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(placed_codes(sent.value, _matrix(b.column("x"))))], [*b.schema.names, "part"])
 
         return run
 
-    placed = written(kinds.mapInArrow(place(1), "x array<double>, ids array<long>, parts array<int>").select("x", "ids", F.col("parts")[0].alias("part")), "placed")
-    held = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    routed = asked.mapInArrow(place(net["parts"]), "query_id long, x array<double>, parts array<int>")
-    sizes = F.create_map(*[F.lit(v) for r in held.items() for v in r]) if held else F.create_map(F.lit(0), F.lit(0))
-    # the first `visits` partitions, and further ones while those before hold no more than k vectors
-    before = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0).cast("long"), lambda a, q: a + F.coalesce(sizes[q], F.lit(0)).cast("long")))
-    routed = written(routed.withColumn("before", before).select("query_id", "x", F.explode(F.arrays_zip("parts", "before")).alias("at"), F.col("parts").alias("all")).select("query_id", "x", F.col("at.parts").alias("part"), (F.array_position("all", F.col("at.parts")) - 1).alias("turn"), F.col("at.before").alias("before")).filter((F.col("turn") < visits) | (F.col("before") <= k)).select("query_id", "x", "part"), "routed")
-    visited = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(p, -(-n // ROW_BLOCK), -(-visited[p] // QUERY_BLOCK)) for p, n in held.items() if p in visited] or [(0, 1, 1)], "part int, rb int, qb int")
+    placed, fits = None, bool(nets)
+    for level in range(1, LEVELS + 1):
+        sent = spark.sparkContext.broadcast(nets)  # at most FAN ** (LEVELS - 1) networks, each fitted on SAMPLE rows
+        was, placed = placed, written(kinds.mapInArrow(put(sent), "x array<double>, ids array<long>, part long"), "placed")
+        if was is not None:
+            discard(was)
+        held = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+        large = {p: n for p, n in held.items() if n > LEAF_ROWS}
+        if level == LEVELS or not large or not fits:
+            break
+        share = spark.createDataFrame([(p, SAMPLE / n) for p, n in large.items()], "part long, share double")
+        drawn = F.pmod(F.xxhash64(F.lit(level), F.array_min("ids")), F.lit(1 << 40)) < F.col("share") * float(1 << 40)
+        some = placed.join(F.broadcast(share), "part").filter(drawn).select("part", "x")  # a row a partition
+        found = some.groupBy("part").applyInPandas(lambda pdf: pd.DataFrame({"part": pdf.part[:1], "net": [pickle.dumps(fit(np.stack(pdf.x)))]}), "part long, net binary")
+        more = {r["part"]: pickle.loads(r["net"]) for r in found.collect()}
+        nets = nets | {p: net for p, net in more.items() if net}
+    visits = visits or needed_visits(nets, sample)
+    told = spark.sparkContext.broadcast((nets, held))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ways = visited(*told.value[:1], _matrix(b.column("x")), told.value[1], visits, k) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ways, pa.list_(pa.int64()))], [*b.schema.names, "parts"])
+
+    routed = asked.mapInArrow(ask, "query_id long, x array<double>, parts array<long>")
+    routed = written(routed.select("query_id", "x", F.explode("parts").alias("part")), "routed")
+    asks = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    blocks = spark.createDataFrame([(p, -(-n // ROW_BLOCK), -(-asks[p] // QUERY_BLOCK)) for p, n in held.items() if p in asks] or [(0, 1, 1)], "part long, rb int, qb int")
     pairs = placed.join(F.broadcast(blocks), "part").withColumn("r", F.pmod(F.xxhash64(F.array_min("ids")), F.col("rb"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb").cast("long") - 1)))
     askers = routed.join(F.broadcast(blocks), "part").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("qb"))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rb").cast("long") - 1)))
     found = pairs.select("part", "r", "q", "x", "ids").groupBy("part", "r", "q").cogroup(askers.select("part", "r", "q", "query_id", "x").groupBy("part", "r", "q")).applyInPandas(_compare(k), "query_id long, vec_id long, score double")

@@ -132,9 +132,10 @@ def votes(text: str, kind: str, s: int, e: int) -> str:
     letters = sum(c.isalpha() for c in token)
     keyed = _KEYED.match(token)
     before = [w.lower() for w in _WORD_BEFORE.findall(text[max(0, s - 40) : s])[-3:]]
-    pattern = "+" if kind != "secret" or _CLOUD.match(token) else "0" if keyed else "-"
+    told = bool(before) and before[-1] in NAMES  # password: ..., token = "..."
+    pattern = "+" if kind != "secret" or _CLOUD.match(token) else "0" if keyed or told else "-"
     shape = "+" if digits >= 4 and len(set(token)) >= 5 else "-" if len(set(token)) < 4 else "0"
-    named = keyed and keyed.group(1).lower() in NAMES
+    named = told or (keyed and keyed.group(1).lower() in NAMES)
     gazetteer = "+" if named or (kind == "email" and any(h in token.lower() for h in HOSTS)) or token.startswith(("AKIA", "+1", "+4", "+3")) else "0"
     context = "+" if any(w in CUES for w in before) else "0"
     value = keyed.group(2) if keyed else token
@@ -143,6 +144,11 @@ def votes(text: str, kind: str, s: int, e: int) -> str:
     return f"{kind}|{pattern}{shape}{gazetteer}{context}{counter}|{min(4, (e - s) // 8)}{min(4, 5 * digits // max(1, e - s))}"
 
 
+#: Votes (against, none, for) that each labeler is taken to have cast before, on spans that aren't private and on
+#: spans that are: it votes for rather than against what it was made for, whatever a small table holds.
+PRIOR = np.array([[8.0, 11.0, 1.0], [1.0, 9.0, 10.0]])
+
+
 def expectation_maximisation(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
     """Probability of each vote pattern, by a model with two classes and labelers independent given the class."""
     keys = sorted(counts)
@@ -153,9 +159,7 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 100) -> dict[
         prior = (n @ p + 1) / (n.sum() + 2)
         on, off = np.full(len(keys), math.log(prior)), np.full(len(keys), math.log(1 - prior))
         for j in range(len(LABELERS)):
-            table = np.ones((2, 3))  # a labeler votes for rather than against what it was made for
-            table[1, 2] += 1
-            table[0, 0] += 1
+            table = PRIOR.copy()
             np.add.at(table[1], v[:, j], n * p)
             np.add.at(table[0], v[:, j], n * (1 - p))
             table = np.log(table / table.sum(axis=1, keepdims=True))
@@ -223,13 +227,14 @@ def private_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """Counts of the base kinds and the spans in writing."""
+    """Counts of the base kinds, of all spans and of those added, and the spans in writing."""
     text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*KINDS[:4]))
     plain = F.array_join(F.transform(base, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return spans.select("doc_id", *counts, F.sha2(plain, 256).alias("base_sha256"), text.alias("spans"))
+    added = F.size(kinds) - F.size(F.filter(kinds, lambda k: k.isin(*KINDS[:4])))
+    return spans.select("doc_id", *counts, F.sha2(plain, 256).alias("base_sha256"), text.alias("spans"), F.size(kinds).cast("long").alias("n_private"), added.cast("long").alias("n_added"))
 
 
 def sha256(text: str) -> str:

@@ -5,7 +5,8 @@ log-count ratio; hinge loss is then minimised by dual coordinate descent. A sigm
 half of the sample turns margins into scores from 0 to 1.
 
 Texts that are null count as empty; an empty text has only its length band and gets a score as any other. Without
-labelled rows of both classes each score is the share of label 1 (0.5 without labels). Rows repeat as given.
+labelled rows of both classes each score is the share of label 1 (0.5 without labels). Rows repeat as given; of those
+that share a doc_id the smallest text is learned from.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 DIMS = 1 << 17
 #: Most labelled rows that the classifier is fitted on, the first by a hash of doc_id.
 SAMPLE = 10_000
+#: Features beyond as many bytes stay packed in the driver: DIMS / 8 for each sampled row at most, 164 MB in all.
+MOST_BYTES = 100_000_000
 THRESHOLD = 0.3
 
 
@@ -47,10 +50,23 @@ def indicators(text: str | None, flags: np.ndarray) -> np.ndarray:
     return found
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Feature numbers as bytes, or as a bit each where that is shorter."""
+    if 32 * len(found) < DIMS:
+        return found.astype("<i4").tobytes()
+    bits = np.zeros(DIMS, dtype=bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(got: bytes) -> np.ndarray:
+    return np.frombuffer(got, dtype="<i4") if len(got) < DIMS // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(got, dtype=np.uint8)))
+
+
 def _featured(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     flags = np.zeros(DIMS, dtype=bool)
     for pdf in rows:
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "quality": pdf.quality, "found": [indicators(t, flags).astype(np.int32) for t in pdf.text]})
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "quality": pdf.quality, "found": [packed(indicators(t, flags)) for t in pdf.text]})
 
 
 def _ratios(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -106,24 +122,38 @@ def _sigmoid(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
+class Unpacked:
+    """Feature numbers that are only unpacked while they are in use."""
+
+    def __init__(self, held: list[bytes]):
+        self.held = held
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpacked(self.held[i])
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(unpacked, self.held)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float = 4.0, epochs: int = 8, seed: int = 7) -> dict:
     """The model from at most `sample` labelled rows outside the held-out fifth."""
     marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")).filter(~held_out(F.col("doc_id")))
     chosen = marked.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers at most
-    got = texts.mapInPandas(_featured, "doc_id long, quality int, found array<int>").toArrow()
+    texts = texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    got = texts.mapInPandas(_featured, "doc_id long, quality int, found binary").toArrow()  # DIMS / 8 bytes a row at most
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     y = np.where(got["quality"].to_numpy()[order] > 0, 1.0, -1.0)
-    lists = got["found"].combine_chunks() if got.num_rows else None
     if not len(y) or len(set(y)) < 2:
         return {"constant": float((y > 0).mean()) if len(y) else 0.5}
-    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    found = [flat[ends[i] : ends[i + 1]] for i in order]
+    held = got["found"].to_pylist()
+    found = [unpacked(held[i]).astype(np.int32) for i in order] if sum(map(len, held)) < MOST_BYTES else Unpacked([held[i] for i in order])
     half = np.arange(len(y)) % 2
     if all(len(set(y[half == k])) == 2 for k in (0, 1)):
         margins = np.zeros(len(y))
         for k in (0, 1):
-            model = _descend([f for f, h in zip(found, half, strict=True) if h != k], y[half != k], cost, epochs, seed)
+            others = Unpacked([found.held[i] for i in np.flatnonzero(half != k)]) if isinstance(found, Unpacked) else [found[i] for i in np.flatnonzero(half != k)]
+            model = _descend(others, y[half != k], cost, epochs, seed)
             for i in np.flatnonzero(half == k):
                 margins[i] = _margin(model, found[i])
         model = _descend(found, y, cost, epochs, seed)
