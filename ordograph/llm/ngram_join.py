@@ -15,7 +15,7 @@ add up; rows with a null doc_id are a class of their own text and have no links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -248,18 +248,24 @@ def _block_pair(threshold: float, needs: list[int]):
     return compare
 
 
-def likely_clusters(firsts: DataFrame, needs: list[int]) -> DataFrame:
-    """(doc_id, root): texts (doc_id, bands, low) connected by pairs that the posterior test leaves."""
+def likely_clusters(firsts: DataFrame, needs: list[int], lows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, root): texts (doc_id, bands) connected by pairs that the posterior test leaves; lows gives the MinHash
+    values (doc_id, low) of a table of doc_ids."""
     keys = written(firsts.select("doc_id", F.explode("bands").alias("key")), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("z"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.min("doc_id").alias("a")).filter("n > 1")
     shared = written(shared.groupBy("n", "z", "y", "a").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = written(keys.join(shared, "key").select("key", "n", "doc_id"), "members").join(firsts.select("doc_id", "low"), "doc_id")
+    placed = written(keys.join(shared, "key").select("key", "n", "doc_id"), "members")
+    members = placed.join(written(lows(placed.select("doc_id").distinct()), "lows"), "doc_id")
     members = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "doc_id", "low")
     sorted_rows = spread.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    edges = written(sorted_rows.mapInArrow(_linked(needs), "a long, b long").distinct(), "likely")
-    return components(edges, "clusters").withColumnRenamed("node", "doc_id")
+    edges = written(sorted_rows.mapInArrow(_linked(needs), "a long, b long"), "likely")
+    # a text keeps its link with its smallest root, and its other roots get theirs with that one
+    stars = edges.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))  # at most a root a band and block
+    stars = written(stars, "stars")
+    linked = stars.select("a", "least").union(stars.select(F.explode("all").alias("a"), "least").filter("a <> least").distinct()).toDF("a", "b")
+    return components(linked, "clusters").withColumnRenamed("node", "doc_id")
 
 
 def _classes(plain: DataFrame, threshold: float, tolerance: float, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -269,9 +275,15 @@ def _classes(plain: DataFrame, threshold: float, tolerance: float, by_text: bool
     keyed = plain.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("size"), word_hashes(F.col("text")).alias("words"))
     keyed = written(keyed.mapInArrow(_band_keys, "doc_id long, sha binary, size long, bands array<long>, low binary"), "bands")
     classes = written(keyed.groupBy("sha").agg(F.min("doc_id").alias("text_id")), "texts")
-    firsts = keyed.filter("bands is not null")
-    firsts = firsts.dropDuplicates(["doc_id"]) if by_text else firsts.join(classes, (keyed.doc_id == classes.text_id) & (keyed.sha == classes.sha), "left_semi")
-    clusters = written(likely_clusters(firsts, needs), "cluster")
+    firsts = keyed.filter("bands is not null").select("doc_id", "sha", "bands")
+    firsts = firsts.dropDuplicates(["doc_id"]) if by_text else firsts.join(classes, (F.col("doc_id") == F.col("text_id")) & (firsts.sha == classes.sha), "left_semi")
+    names = classes.select(F.col("text_id").alias("doc_id"), "sha")
+
+    def lows(ids: DataFrame) -> DataFrame:
+        wanted = written(ids.join(names, "doc_id"), "wanted")  # of known size, to be broadcast while small
+        return keyed.select("doc_id", "sha", "low").join(wanted, ["doc_id", "sha"], "left_semi").groupBy("doc_id").agg(F.first("low").alias("low"))
+
+    clusters = written(likely_clusters(firsts, needs, lows), "cluster")
     measured = clusters.join(keyed.groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id")
     sizes = written(measured, "measured").groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
     dealt = (

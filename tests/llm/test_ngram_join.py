@@ -77,4 +77,4 @@ def test_clusters_are_of_likely_pairs(spark):
     keyed = docs.select("doc_id", F.lit(b"").alias("sha"), F.lit(1).cast("long").alias("size"), ngram_join.word_hashes(F.col("text")).alias("words"))
     keyed = keyed.mapInArrow(ngram_join._band_keys, "doc_id long, sha binary, size long, bands array<long>, low binary").cache()
     shared = keyed.select(F.explode("bands").alias("k")).groupBy("k").count().filter("count > 1").count()
-    assert shared > 0 and ngram_join.likely_clusters(keyed, ngram_join.fewest_matches()).count() == 0
+    assert shared > 0 and ngram_join.likely_clusters(keyed, ngram_join.fewest_matches(), lambda ids: keyed.select("doc_id", "low").join(ids, "doc_id")).count() == 0
