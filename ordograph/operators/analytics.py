@@ -98,3 +98,26 @@ def first_values(runs: DataFrame, columns: list[str]) -> DataFrame:
 def cumulative_score(log: DataFrame) -> DataFrame:
     w = W.partitionBy("instance").orderBy("episode").rowsBetween(W.unboundedPreceding, 0)
     return log.withColumn("score", F.sum("reward").over(w))
+
+
+def pending(instances: DataFrame, runs: DataFrame) -> DataFrame:
+    """The instances that a log doesn't have yet, from which a stopped batch goes on."""
+    return instances.join(runs.select("instance").distinct(), "instance", "left_anti")
+
+
+def enriched(runs: DataFrame, topology: DataFrame) -> DataFrame:
+    """runs with the topology of their instance; runs of unknown instances stay."""
+    return runs.join(topology, "instance", "left")
+
+
+def ordered_columns(df: DataFrame, first: list[str]) -> DataFrame:
+    """df with the columns of `first` that it has in front, the others as they were."""
+    front = [c for c in first if c in df.columns]
+    return df.select(*front, *[c for c in df.columns if c not in front])
+
+
+def compared(runs: DataFrame) -> DataFrame:
+    """(instance, initial_bandwidth, best, worst, mean, wins): a row a file, wins by centrality as text."""
+    best = runs.groupBy("instance").agg(F.min_by("initial_bandwidth", "run_id").alias("initial_bandwidth"), F.min("bandwidth").alias("best"), F.max("bandwidth").alias("worst"), F.round(F.avg("bandwidth"), 6).alias("mean"))
+    won = frequency(runs).groupBy("instance").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "centrality", F.col("n").cast("string")))), ", ").alias("wins"))
+    return best.join(won, "instance")

@@ -86,7 +86,7 @@ def levels_from(edges: DataFrame, roots: DataFrame, values: DataFrame) -> DataFr
     return every.join(values.select("instance", "v", "value"), ["instance", "v"], "left").select("instance", "attempt", "v", F.coalesce("level", F.lit(2147483647)).alias("level"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def centrality_heuristic(edges: DataFrame, values: DataFrame, attempts: int = 3, alpha: float = 0.3, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def best_attempts(edges: DataFrame, values: DataFrame, attempts: int = 3, alpha: float = 0.3, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labels of all attempts, log of bandwidths, best attempt of each instance)."""
     labels = list_labels(levels_from(edges, roulette_roots(values, attempts, seed), values), alpha, seed)
     log = bandwidth(edges, labels)

@@ -72,6 +72,24 @@ def insertion_order(edges: DataFrame) -> DataFrame:
     return first.select("path", F.col("x").alias("v"), (F.row_number().over(W.partitionBy("path").orderBy("first")) - 1).alias("pos"))
 
 
+def transitivity(edges: DataFrame) -> DataFrame:
+    """(instance, triangles, triads, transitivity): closed and all paths of two edges.
+
+    Edges go from the vertex of smaller (degree, id), so that a hub has few outgoing ones and no path is listed twice.
+    """
+    plain = simple(edges)
+    d = degrees(plain)
+    ends = plain.join(d.select("instance", F.col("v").alias("u"), F.col("degree").alias("du")), ["instance", "u"]).join(d.select("instance", "v", F.col("degree").alias("dv")), ["instance", "v"])
+    swap = F.struct("du", "u") > F.struct("dv", "v")
+    way = written(ends.select("instance", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("a"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("b")), "oriented")
+    two = way.join(way.select("instance", "a", F.col("b").alias("c")), ["instance", "a"]).filter("b < c")
+    closed = way.select("instance", F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"))
+    triangles = two.join(closed, ["instance", "b", "c"]).groupBy("instance").agg(F.count("*").alias("triangles"))
+    triads = d.groupBy("instance").agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).cast("long").alias("triads"))
+    out = triads.join(triangles, "instance", "left").fillna(0, ["triangles"])
+    return out.select("instance", "triangles", "triads", F.coalesce(F.try_divide(3.0 * F.col("triangles"), F.col("triads")), F.lit(0.0)).alias("transitivity"))
+
+
 def random_connected(spark: SparkSession, n: int, seed: int = 1, instance: str = "random") -> DataFrame:
     """A chain of n vertices and n / 2 further edges with drawn ends."""
     chain = spark.range(1, n).select(F.lit(instance).alias("instance"), F.col("id").cast("int").alias("u"), (F.col("id") + 1).cast("int").alias("v"))

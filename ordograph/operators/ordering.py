@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,3 +64,21 @@ def vns(edges: DataFrame, starts: int = 2, k_min: int = 5, k_max: int = 220, k_s
         return pd.DataFrame({"instance": name, "solution": "vns", "v": names, "label": min(tried, key=g.bandwidth)})
 
     return per_instance(edges, run, LABELS)
+
+
+def batch(edges: DataFrame, solvers: dict) -> DataFrame:
+    """(instance, solver, bandwidth, seconds, error): every solver, graph -> labels, on every instance; one that fails
+    leaves its error and no bandwidth, and the others go on."""
+
+    def run(name, names, g):
+        rows = []
+        for solver, function in solvers.items():
+            began, cost, error = time.perf_counter(), None, None
+            try:
+                cost = int(g.bandwidth(function(g)))
+            except Exception as e:  # noqa: BLE001  whatever a solver raises is a row of the table
+                error = f"{type(e).__name__}: {e}"
+            rows.append((name, solver, cost, time.perf_counter() - began, error))
+        return pd.DataFrame(rows, columns=["instance", "solver", "bandwidth", "seconds", "error"]).astype({"bandwidth": "Int32"})
+
+    return per_instance(edges, run, "instance string, solver string, bandwidth int, seconds double, error string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ordograph.functions import kernels
 from ordograph.operators.graph import adjacency, degrees, simple, vertices
@@ -121,3 +121,9 @@ def min_degree(edges: DataFrame) -> DataFrame:
     d = degrees(edges)
     least = d.groupBy("instance").agg(F.min("degree").alias("degree"))
     return d.join(least, ["instance", "degree"]).select("instance", "v", "degree")
+
+
+def degree_order(edges: DataFrame) -> DataFrame:
+    """(instance, component, v, place): each component's vertices by ascending degree, ties to the smaller id."""
+    place = F.row_number().over(W.partitionBy("instance", "component").orderBy("degree", "v"))
+    return degrees(simple(edges)).join(components(edges), ["instance", "v"]).select("instance", "component", "v", place.alias("place"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ordograph.functions import scalars as S
 from ordograph.operators import analytics as A, bandwidth as B, centrality as C, construct as K, graph as G, learn as L, ordering as O, profile as P, traverse as T
-from ordograph.plans.storage import table
+from ordograph.plans.storage import numbered, shared_folder, table, written
+from ordograph.sources import matrix_market as M
 
 TREE = """select cast(r_regionkey+1 as int) u, cast(n_nationkey+6 as int) v from nation join region on n_regionkey=r_regionkey
 union all select cast(c_nationkey+6 as int), cast(30+row_number() over(order by c_custkey) as int) from customer"""
@@ -389,7 +392,19 @@ def _(s, d):
     return C.harmonic(_user(s, d)).select("v", F.round("value", 9).alias("value"))
 
 
-@query("betweenness")
+def _brandes(sources: str = "verts", scale: str = "1.0") -> str:
+    """Pair dependencies by numbers of shortest paths, level by level."""
+    ctes = ["s0 as (select v s, v, 1.0::double k from verts)"]
+    for i in range(1, 7):
+        ctes.append(f"s{i} as (select p.s, sadj.dst v, sum(k) k from s{i - 1} p join sadj on sadj.src = p.v join dist on dist.src = p.s and dist.dst = sadj.dst and dist.d = {i} group by p.s, sadj.dst)")
+    return (
+        APSP + ", " + ", ".join(ctes) + ", sig as (" + " union all ".join(f"select s, v, {i} d, k from s{i}" for i in range(7)) + f"), from_s as (select s, v, d, k from sig where s in (select v from {sources})), "
+        f"dep as (select b.v, sum(b.k * e.k / t.k) x from from_s t join from_s b on b.s = t.s and b.v <> t.s and b.v <> t.v and b.d < t.d join sig e on e.s = b.v and e.v = t.v and b.d + e.d = t.d where t.v <> t.s group by b.v) "
+        f"select verts.v, round(coalesce(x, 0) * {scale} / ((n - 1.0) * (n - 2.0)), 9) value from verts cross join n left join dep on dep.v = verts.v"
+    )
+
+
+@query("betweenness", _graph(USER).rstrip() + _brandes())
 def _(s, d):
     return C.betweenness(_user(s, d)).select("v", F.round("value", 9).alias("value"))
 
@@ -480,10 +495,10 @@ def _(s, d):
     return K.roulette_roots(v, 4, 9).select("attempt", "root")
 
 
-@query("centrality_heuristic")
+@query("best_attempts")
 def _(s, d):
     e = _user(s, d)
-    return K.centrality_heuristic(e, C.degree(e))[1].select("solution", "bandwidth")
+    return K.best_attempts(e, C.degree(e))[1].select("solution", "bandwidth")
 
 
 @query("random_level_search")
@@ -651,6 +666,91 @@ def _(s, d):
     return T.topology(_user(s, d), with_connectivity=True)
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/ordograph/{name}-{uuid.uuid4().hex}"
+
+
+def _as_file(s: SparkSession, d: str) -> str:
+    path = _folder(s, "matrix")
+    coo = numbered(_user(s, d), ["u", "v"], "ord").select("ord", F.col("u").alias("i"), F.col("v").alias("j"))
+    n = G.vertices(_user(s, d)).count()
+    M.write_matrix_market(coo, path, n, n, "pattern", "symmetric")
+    return path
+
+
+@query("mtx_scan", f"select 'pattern' field, 'symmetric' symmetry, (select count(distinct v) from (select u v from ({USER}) union all select v from ({USER}))) nrows, u i, v j, row_number() over(order by u, v) ord from ({USER}) e")
+def _(s, d):
+    path = _as_file(s, d)
+    head = M.headers(M.lines(s, path, "*.txt")).filter("valid").select("path", "field", "symmetry", F.col("nrows").cast("long").alias("nrows"))
+    return M.read_coo(s, path, "*.txt").join(head, "path").select("field", "symmetry", "nrows", "i", "j", "ord")
+
+
+@query("mtx_initial_bandwidth", f"with e as (select u, v, row_number() over(order by u, v) o from ({USER})), a as (select u x, 2 * o k from e union all select v, 2 * o + 1 from e), p as (select x, row_number() over(order by min(k)) pos from a group by x) select cast(max(abs(a.pos - b.pos)) * 2 + 1 as int) full_bandwidth from e join p a on a.x = u join p b on b.x = v")
+def _(s, d):
+    e = written(G.edges_of(M.read_coo(s, _as_file(s, d), "*.txt")), "scanned")
+    labels = G.insertion_order(e).select(F.col("path").alias("instance"), F.lit("file").alias("solution"), "v", (F.col("pos") + 1).alias("label"))
+    own = e.select(F.col("path").alias("instance"), "u", "v")
+    return B.full_bandwidth(own, labels).select(F.col("full_bandwidth").cast("int").alias("full_bandwidth"))
+
+
+@query("edge_list_file", f"with e as ({USER}), x as (select 'v' || u a, 'v' || v b from e), i as (select a, row_number() over(order by a) id from (select a from x union select b from x)) select least(p.id, q.id) u, greatest(p.id, q.id) v from x join i p on p.a = x.a join i q on q.a = x.b")
+def _(s, d):
+    path = _folder(s, "edge-list")
+    _user(s, d).select(F.concat(F.lit("v"), "u", F.lit(" v"), "v")).write.text(path)
+    return M.with_ids(M.read_edge_list(s, path))
+
+
+@query("adjacency_list_file", f"with e as ({USER}) select cast(u as varchar) a, cast(v as varchar) b from e union all select cast(v as varchar), cast(u as varchar) from e")
+def _(s, d):
+    path = _folder(s, "adjacency-list")
+    G.neighbours(_user(s, d)).select(F.concat_ws(" ", F.col("v").cast("string"), F.col("near").cast("array<string>"))).write.text(path)
+    return M.read_adjacency_list(s, path)
+
+
+def _log_file(form: str) -> None:
+    @query(f"run_log_{form}", _r("select run_id, instance, episode, attempt, centrality, bandwidth, initial_bandwidth from r"))
+    def run(s, d):
+        path = _folder(s, "runs")
+        r = _runs(s, d).withColumns({"local_time": F.lit(0.0), "global_time": F.lit(0.0)})
+        M.write_runs(r.select(*[c.split()[0] for c in M.RUNS.split(", ")]), path, form)
+        return M.read_runs(s, path, format=form).select("run_id", "instance", "episode", "attempt", "centrality", "bandwidth", "initial_bandwidth")
+
+
+for _form in ("json", "csv", "parquet"):
+    _log_file(_form)
+
+
+@query("runs_pending", _r("select 'inst_' || k instance from (select unnest(range(50)) k) where 'inst_' || k not in (select instance from r)"))
+def _(s, d):
+    every = s.range(50).select(F.concat(F.lit("inst_"), F.col("id").cast("string")).alias("instance"))
+    return A.pending(every, _runs(s, d))
+
+
+_OWN = "own as (select distinct 'inst_' || cast(user_id % 40 as varchar) instance, cast(user_id + 1 as int) u, 100000 + length(event_type) v from events), topo as (select instance, (count(distinct u) + count(distinct v)) nodes, count(*) edges from own group by instance)"
+
+
+@query("runs_enriched", _r(", " + _OWN + " select run_id, r.instance, bandwidth, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 9) density from r left join topo on topo.instance = r.instance").replace(") , own", "), own"))
+def _(s, d):
+    own = table(s, d, "events").select(F.concat(F.lit("inst_"), (F.col("user_id") % 40).cast("string")).alias("instance"), (F.col("user_id") + 1).cast("int").alias("u"), (F.length("event_type") + 100000).alias("v"))
+    topology = T.density(G.simple(own)).withColumn("density", F.round("density", 9))
+    return A.enriched(A.ordered_columns(_runs(s, d).select("bandwidth", "run_id", "instance"), ["run_id", "instance"]), topology)
+
+
+@query("runs_compared", _r(", w as (select instance, string_agg(c, ', ' order by c) wins from (select instance, centrality || ':' || count(*) c from top group by instance, centrality) group by instance) select r.instance, arg_min(initial_bandwidth, run_id) initial_bandwidth, min(bandwidth) best, max(bandwidth) worst, round(avg(bandwidth), 6) mean, any_value(wins) wins from r join w on w.instance = r.instance group by r.instance").replace(") , w", "), w"))
+def _(s, d):
+    return A.compared(_runs(s, d))
+
+
+@query("transitivity", _graph(SEQ, DEG) + ", t as (select count(*) triangles from simple a join simple b on a.v = b.u join simple c on c.u = a.u and c.v = b.v), k as (select cast(sum(degree * (degree - 1) / 2) as bigint) triads from deg) select triangles, triads, round(3.0 * triangles / triads, 9) transitivity from t, k")
+def _(s, d):
+    return G.transitivity(G.sequence_graph(s, d)).select("triangles", "triads", F.round("transitivity", 9).alias("transitivity"))
+
+
+@query("degree_order", _graph(TREE, _COMP + DEG) + "select component, comp.v, row_number() over(partition by component order by degree, comp.v) place from comp join deg on deg.v = comp.v")
+def _(s, d):
+    return T.degree_order(_tree(s, d)).select("component", "v", "place")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _made.items()}
 

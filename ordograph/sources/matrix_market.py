@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ordograph.plans.storage import numbered
@@ -110,5 +113,42 @@ def write_runs(runs: DataFrame, path: str, format: str = "json") -> None:  # noq
 RUNS = "run_id long, instance string, episode int, attempt int, centrality string, bandwidth int, local_time double, initial_bandwidth int, global_time double"
 
 
-def read_runs(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    return spark.read.schema(RUNS).option("multiLine", array).json(path)
+def read_runs(spark: SparkSession, path: str, array: bool = False, format: str = "json") -> DataFrame:  # noqa: A002
+    reader = spark.read.schema(RUNS)
+    return reader.option("multiLine", array).json(path) if format == "json" else reader.option("header", True).csv(path) if format == "csv" else reader.parquet(path)
+
+
+def read_harwell_boeing(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
+    """(path, instance, i, j, val): assembled matrices in column-compressed form (types RUA, RSA, PUA, PSA).
+
+    Four header lines, a fifth if there are right-hand sides, then column starts, row numbers and values; numbers are
+    read by the field widths that the fourth line gives.
+    """
+
+    def parsed(rows):
+        for pdf in rows:
+            out = []
+            for path, text in zip(pdf.path, pdf.value, strict=True):
+                lines = text.splitlines()
+                counts = [int(x) for x in lines[1].split()]
+                kind, (nrow, ncol, nnz) = lines[2][:3].upper(), [int(x) for x in lines[2][3:].split()[:3]]
+                widths = [int(w) for w in re.findall(r"[IEDFG](\d+)", lines[3].upper())]
+                body = lines[5:] if len(counts) > 4 and counts[4] > 0 else lines[4:]
+
+                def numbers(n, width, body=body):
+                    got = []
+                    while len(got) < n:
+                        line = body.pop(0)
+                        got += [x for x in (line[k : k + width].strip() for k in range(0, len(line), width)) if x]
+                    return got[:n]
+
+                starts = [int(x) for x in numbers(ncol + 1, widths[0])]
+                own = [int(x) for x in numbers(nnz, widths[1])]
+                val = [1.0] * nnz if kind[0] == "P" else [float(x.upper().replace("D", "E")) for x in numbers(nnz, widths[2])]
+                out += [(path, own[k], j + 1, val[k]) for j in range(ncol) for k in range(starts[j] - 1, starts[j + 1] - 1)]
+            yield pd.DataFrame(out, columns=["path", "i", "j", "val"])
+
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    whole = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    coo = whole.mapInPandas(parsed, "path string, i int, j int, val double")
+    return coo.withColumn("instance", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
