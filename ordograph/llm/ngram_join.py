@@ -80,6 +80,11 @@ def word_hashes(text) -> F.Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def text_name(text) -> F.Column:
+    """128 bits of a text's SHA-256, which stand for it."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def fewest_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
     """For each step, the fewest equal MinHash values with which a pair stays: P(J >= threshold | matches) >= tolerance."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -252,8 +257,8 @@ def likely_clusters(firsts: DataFrame, needs: list[int], lows: Callable[[DataFra
     """(doc_id, root): texts (doc_id, bands) connected by pairs that the posterior test leaves; lows gives the MinHash
     values (doc_id, low) of a table of doc_ids."""
     keys = written(firsts.select("doc_id", F.explode("bands").alias("key")), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("z"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.min("doc_id").alias("a")).filter("n > 1")
-    shared = written(shared.groupBy("n", "z", "y", "a").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("z"), F.min("doc_id").alias("a")).filter("n > 1")
+    shared = written(shared.groupBy("n", "z", "a").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     placed = written(keys.join(shared, "key").select("key", "n", "doc_id"), "members")
     members = placed.join(written(lows(placed.select("doc_id").distinct()), "lows"), "doc_id")
     members = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
@@ -272,7 +277,7 @@ def _classes(plain: DataFrame, threshold: float, tolerance: float, by_text: bool
     """(doc_id, sha) of each row and (sha, text_id, class_id, n_links) of each text; by_text: doc_id stands for the
     text, so rows that share it are compared once."""
     needs = fewest_matches(threshold, tolerance)
-    keyed = plain.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("size"), word_hashes(F.col("text")).alias("words"))
+    keyed = plain.select("doc_id", text_name(F.col("text")).alias("sha"), F.octet_length("text").cast("long").alias("size"), word_hashes(F.col("text")).alias("words"))
     keyed = written(keyed.mapInArrow(_band_keys, "doc_id long, sha binary, size long, bands array<long>, low binary"), "bands")
     classes = written(keyed.groupBy("sha").agg(F.min("doc_id").alias("text_id")), "texts")
     firsts = keyed.filter("bands is not null").select("doc_id", "sha", "bands")
@@ -319,7 +324,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     hash. Classes are by text alone, so texts that share a doc_id, or have none, aren't linked by it."""
     text = F.coalesce("text", F.lit(""))
     _, found = _classes(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), THRESHOLD, TOLERANCE, by_text=True)
-    sha = F.unhex(F.sha2(text, 256))
+    sha = text_name(text)
     firsts = docs.select("doc_id", sha.alias("sha")).groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
     # a text without links is a class of its own, even if another's 64-bit hash is the same
     alone = F.when(F.col("n_links") == 0, F.col("sha"))
