@@ -31,8 +31,8 @@ from ordograph.llm.common import written
 from ordograph.llm.ngram_join import mixed, word_hashes
 
 WINDOW, ROUNDS, REACH = 50, 4, 17
-#: Texts whose words a task holds at once.
-SLICE = 800
+#: Words that a task works on at once; a longer text is worked on alone.
+SLICE = 1 << 18
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FAR = 1 << 40
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1342543DE82EF95)
@@ -128,23 +128,24 @@ def regions(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[
     lo, hi = lo[short], hi[short]
     name = content.of(0, lo, hi)
     # the smallest name, then the first place, of the boundaries with lo in a window's first words; hi is inside too
-    place = np.uint64((1 << 26) - 1)
     order = np.lexsort((hi, name, lo))
     lo, hi, name = lo[order], hi[order], name[order]
     lead = np.flatnonzero(np.diff(lo, prepend=-1))
     lo, hi, name = lo[lead], hi[lead], name[lead]
-    least = np.full(len(words) + window, np.iinfo(np.uint64).max)
-    least[lo] = (name & ~place) | lo.astype(np.uint64)
+    ranked = np.lexsort((lo, name))
+    none = len(ranked)
+    least = np.full(len(words) + window, none)
+    least[lo[ranked]] = np.arange(none)
     width, have = window - REACH + 1, 1
     while have < width:
         step = min(have, width - have)
         least[:-step] = np.minimum(least[:-step], least[step:])
         have += step
     chosen = least[valid]
-    lone = chosen == np.iinfo(np.uint64).max
+    lone = chosen == none
     alone = valid[lone]  # neighbours with equal words, inside a run, stay together
     fresh = np.append(True, (np.diff(content.of(0, alone, alone + window)) != 0) | (np.diff(alone) != 1))[: len(alone)]
-    at = (chosen & place).astype(np.int64)
+    at = np.append(lo[ranked], 0)[chosen]
     at[lone] = -np.cumsum(fresh)
     first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(valid) != 1)))
     n, s, at = np.diff(np.append(first, len(valid))), valid[first], at[first]
@@ -163,11 +164,20 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
+def slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of texts that have at most `most` words together, or are one text; ends: where each ends."""
+    at, done = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield at, to
+        at, done = to, int(ends[to - 1])
+
+
 def _regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions; of equal ones in a batch only the smallest document's are left to compare with others (not done)."""
+    """Regions; of equal ones in a slice only the smallest document's are left to compare with others (not done)."""
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            b = whole.slice(at, SLICE)
+        for at, to in slices(_flat(whole)[2], SLICE):
+            b = whole.slice(at, to - at)
             words, begin, ends = _flat(b)
             key, region, s, n = regions(words, ends)
             doc = np.searchsorted(ends, s, side="right")

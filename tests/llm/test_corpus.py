@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -131,6 +132,21 @@ def test_substrings(spark, texts):
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept"]) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
 
 
+def test_substrings_are_alike_in_any_slices(monkeypatch):
+    assert list(substrings.slices(np.array([3, 3, 9, 10, 10, 30, 31]), 9)) == [(0, 3), (3, 5), (5, 6), (6, 7)]
+    assert list(substrings.slices(np.array([], dtype=np.int64), 9)) == []
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 40, n) for n in (0, 30, 49, 50, 70, 25_000, 400, 60)]
+    words += [np.zeros(300, dtype=np.int64), words[5][100:900], np.append(words[6], words[5][:200])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array([w.tolist() for w in words], pa.list_(pa.int64()))], ["doc_id", "words"])
+
+    def found(most):
+        monkeypatch.setattr(substrings, "SLICE", most)
+        return sorted(tuple(r.values()) for b in substrings._regions_of(iter([batch])) for r in b.drop_columns(["done"]).to_pylist())
+
+    assert found(1) == found(500) == found(1 << 18)
+
+
 def test_packing_is_whole_and_gapless(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
