@@ -1,8 +1,8 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts (copies count once) are sets of five-word shingles with MinHash values; bands of these deal texts into buckets, of
-which those with the same members count once. In a bucket, all pairs have their MinHash values compared step by step,
-and a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls
+which those with the same members count once. In a bucket, all pairs have a byte of each MinHash value compared step by
+step, and a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls
 below `TOLERANCE`. Pairs left link texts into clusters; a bucket returns a spanning forest of them, and a large one is
 compared in pairs of blocks. No text has moved so far. A cluster is then verified: in pairs of blocks of at most BLOCK
 texts and about BLOCK_BYTES, all pairs go through the same test on other hashes, and those left are compared exactly on
@@ -29,6 +29,8 @@ N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 36, 7
 #: Texts and bytes in a block; MinHash values in a step, and steps: all values of all bands.
 BLOCK, BLOCK_BYTES, STEP, STEPS = 512, 32_000_000, 36, 7
+#: Values of the byte that is kept of a MinHash value.
+CHANCE = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,8 +51,13 @@ def _shingle_hashes(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def _digits(low: np.ndarray) -> np.ndarray:
+    """A byte for each MinHash value; those of different values are equal with a probability of 1 / CHANCE."""
+    return (mixed(low) >> np.uint64(56)).astype(np.uint8)
+
+
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys, and the upper halves of the MinHash values (`low`, 4 bytes each)."""
+    """Band keys, and a byte of each MinHash value (`low`)."""
     by = factors(BANDS * ROWS, 11)
     weights = factors(ROWS, 12)
     which = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -69,7 +76,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum(low, (x[at : at + 256, None] * by).min(axis=0), out=low)
             band = (low.reshape(BANDS, ROWS) >> np.uint64(7)) * weights
             keys.append(mixed(np.bitwise_xor.reduce(mixed(band), axis=1) + which).view(np.int64))
-            lows.append((low >> np.uint64(32)).astype("<u4").tobytes())
+            lows.append(_digits(low).tobytes())
         columns = [b.column("doc_id"), b.column("sha"), b.column("size"), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "size", "bands", "low"])
 
@@ -86,13 +93,15 @@ def text_name(text) -> F.Column:
 
 
 def fewest_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
-    """For each step, the fewest equal MinHash values with which a pair stays: P(J >= threshold | matches) >= tolerance."""
+    """For each step, the fewest equal bytes of MinHash values with which a pair stays: P(J >= threshold | matches) >=
+    tolerance, where two bytes are equal with probability J + (1 - J) / CHANCE."""
     grid = (np.arange(20_000) + 0.5) / 20_000
+    equal = grid + (1 - grid) / CHANCE
     out = []
     for k in range(1, STEPS + 1):
         n = k * STEP
         for m in range(n + 1):
-            logp = m * np.log(grid) + (n - m) * np.log1p(-grid)
+            logp = m * np.log(equal) + (n - m) * np.log1p(-equal)
             p = np.exp(logp - logp.max())
             if p[grid >= threshold].sum() / p.sum() >= tolerance:
                 out.append(m)
@@ -126,12 +135,12 @@ def _compared(left: list[np.ndarray], right: list[np.ndarray], same: bool, thres
     by = factors(STEP * STEPS, 13)
 
     def signed(sets: list[np.ndarray]) -> np.ndarray:
-        low = np.full((len(sets), len(by)), np.uint32(0xFFFFFFFF))
+        low = np.full((len(sets), len(by)), np.iinfo(np.uint64).max)
         for r, x in zip(low, sets, strict=True):
             h = mixed(x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
             for at in range(0, len(h), 256):
-                np.minimum(r, ((h[at : at + 256, None] * by).min(axis=0) >> np.uint64(32)).astype(np.uint32), out=r)
-        return low
+                np.minimum(r, (h[at : at + 256, None] * by).min(axis=0), out=r)
+        return _digits(low)
 
     a = signed(left)
     b = a if same else signed(right)
@@ -193,7 +202,7 @@ def _linked(needs: list[int]):
     def groups(table: pa.Table) -> pa.RecordBatch:
         cols = [table.column(c).to_numpy() for c in ("key", "one", "two", "part", "doc_id")]
         key, one, two, part, ids = cols
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype="<u4").reshape(len(ids), -1)
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         heads = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)))
         sizes = np.diff(np.append(heads, len(ids)))
         a, b = [], []
