@@ -3,6 +3,7 @@
 import inspect
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -233,3 +234,23 @@ def test_matrix_market_files(spark, tmp_path):
     assert {(r["u"], r["v"]) for r in M.with_ids(M.read_edge_list(spark, str(tmp_path / "e.txt"))).collect()} == {(1, 2), (2, 3)}
     (tmp_path / "l.txt").write_text("a b c\nb c\n")
     assert M.read_adjacency_list(spark, str(tmp_path / "l.txt")).count() == 3
+
+
+def _bipartite(users, kinds=5):
+    """Users linked with all kinds, but for the first, which lacks one."""
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(users), np.arange(users, users + kinds)))
+    keep = ~((u == 0) & (v == users))
+    return kernels.Graph(users + kinds, u[keep], v[keep])
+
+
+def _in_time(seconds, function):
+    began = time.perf_counter()
+    out = function()
+    assert time.perf_counter() - began < seconds
+    return out
+
+
+def test_gps_pair_of_many_alike():
+    """20,000 vertices with the same neighbours; breadth-first searches from each would take minutes."""
+    g = _bipartite(20_000)
+    assert _in_time(10, lambda: kernels.gps_pair(g, g.parts()[0])) == (0, 20_000)
