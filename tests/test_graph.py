@@ -254,3 +254,19 @@ def test_gps_pair_of_many_alike():
     """20,000 vertices with the same neighbours; breadth-first searches from each would take minutes."""
     g = _bipartite(20_000)
     assert _in_time(10, lambda: kernels.gps_pair(g, g.parts()[0])) == (0, 20_000)
+
+
+def test_betweenness_of_many_alike():
+    """1500 vertices linked with the same five: each lies on a 1500th of the paths of 10 pairs."""
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(1500), np.arange(1500, 1505)))
+    got = _in_time(10, lambda: kernels.betweenness(kernels.Graph(1505, u, v)))
+    assert np.allclose(got[:1500], 10 / 1500 * 2 / (1504 * 1503)) and np.allclose(got[1500:], 1500 * 1499 / 2 / 5 * 2 / (1504 * 1503))
+
+
+def test_betweenness_by_classes_is_that_by_vertices():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        kinds = rng.integers(0, 3, 12)
+        u, v = np.nonzero((rng.random((3, 4)) < 0.7)[kinds])
+        g = kernels.Graph(16, u, v + 12)
+        assert np.allclose(kernels.betweenness(g), kernels.betweenness(g, range(16)), atol=1e-12)
