@@ -270,3 +270,21 @@ def test_betweenness_by_classes_is_that_by_vertices():
         u, v = np.nonzero((rng.random((3, 4)) < 0.7)[kinds])
         g = kernels.Graph(16, u, v + 12)
         assert np.allclose(kernels.betweenness(g), kernels.betweenness(g, range(16)), atol=1e-12)
+
+
+def test_current_flow_of_many_alike():
+    def by_pairs(g):
+        lap = np.diag(g.degree.astype(float))
+        lap[g.u, g.v] = lap[g.v, g.u] = -1
+        inv, out = np.linalg.pinv(lap), np.zeros(g.n)
+        for s in range(g.n):
+            for t in range(s + 1, g.n):
+                flow = np.abs((inv[g.u, s] - inv[g.u, t]) - (inv[g.v, s] - inv[g.v, t]))
+                through = np.bincount(g.u, flow, g.n) + np.bincount(g.v, flow, g.n)
+                through[[s, t]] = 0
+                out += through / 2
+        return out * 2 / ((g.n - 1) * (g.n - 2))
+
+    for g in (_bipartite(9, 3), kernels.Graph(10, *zip(*G10, strict=True))):
+        assert np.allclose(kernels.current_flow_betweenness(g), by_pairs(g), atol=1e-9)
+    assert len(_in_time(10, lambda: kernels.current_flow_betweenness(_bipartite(1500)))) == 1505
