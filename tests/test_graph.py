@@ -288,3 +288,12 @@ def test_current_flow_of_many_alike():
     for g in (_bipartite(9, 3), kernels.Graph(10, *zip(*G10, strict=True))):
         assert np.allclose(kernels.current_flow_betweenness(g), by_pairs(g), atol=1e-9)
     assert len(_in_time(10, lambda: kernels.current_flow_betweenness(_bipartite(1500)))) == 1505
+
+
+def test_percolation_of_many_alike():
+    """With equal states it is betweenness; with others a path's source counts by its share of the others' states."""
+    g = _bipartite(1500)
+    got = _in_time(10, lambda: kernels.percolation(g))
+    assert np.allclose(got, kernels.betweenness(g))
+    path = kernels.Graph(3, [0, 1], [1, 2])
+    assert np.allclose(kernels.percolation(path, [2, 1, 3]), [0, 1, 0])
