@@ -297,3 +297,11 @@ def test_percolation_of_many_alike():
     assert np.allclose(got, kernels.betweenness(g))
     path = kernels.Graph(3, [0, 1], [1, 2])
     assert np.allclose(kernels.percolation(path, [2, 1, 3]), [0, 1, 0])
+
+
+def test_random_level_search_of_many_alike(spark):
+    from ordograph.operators import construct as K
+
+    g = _bipartite(1500)
+    got = _in_time(40, lambda: K.random_level_search(frame(spark, zip(g.u.tolist(), g.v.tolist(), strict=True))).collect())
+    assert sorted(r["label"] for r in got) == list(range(1, 1506))
