@@ -17,11 +17,14 @@ NAMES = ("Degree", "Closeness", "Betweenness", "Eigenvector", "Katz Centrality",
 
 def tables_of(g: kernels.Graph) -> np.ndarray:
     """Centralities of NAMES, a row each."""
-    dist = np.stack([g.levels(x) for x in range(g.n)])
-    far = np.where(dist > 0, dist, 0).sum(axis=1)
-    with np.errstate(divide="ignore"):
-        har = np.where(dist > 0, 1 / np.where(dist > 0, dist, 1), 0).sum(axis=1)
-    return np.stack([g.degree / max(1, g.n - 1), (dist > 0).sum(axis=1) / np.maximum(far, 1), kernels.betweenness(g), kernels.eigenvector(g), kernels.katz(g), kernels.pagerank(g), har])
+    q, of = g.quotient()
+    reached, far, har = np.zeros(q.n), np.zeros(q.n), np.zeros(q.n)
+    for k, d, n in q.level_counts(np.arange(q.n)):
+        if d:
+            reached[k] += n
+            far[k] += d * n
+            har[k] += n / d
+    return np.stack([g.degree / max(1, g.n - 1), (reached / np.maximum(far, 1))[of], kernels.betweenness(g), kernels.eigenvector(g), kernels.katz(g), kernels.pagerank(g), har[of]])
 
 
 def lower_bound(n: int, m: int) -> int:
@@ -50,9 +53,9 @@ class LevelEnv:
         chosen = front[np.lexsort((front, -value))][: max(1, int(len(front) * self.alpha))]
         self.left[chosen] = False
         self.order += chosen.tolist()
-        reach = np.unique(np.concatenate([self.g.near(x) for x in chosen]))
-        self.front = sorted({x for x in front.tolist() if self.left[x]} | set(reach[self.left[reach]].tolist()))
-        if not self.front and self.left.any():  # another component
+        reach = self.g.around(chosen)
+        self.front = np.union1d(front[self.left[front]], reach[self.left[reach]]).astype(np.int64)
+        if not len(self.front) and self.left.any():  # another component
             self.front = [int(self.rng.choice(np.flatnonzero(self.left)))]
         self.last, done = action, not self.left.any()
         reward = 0.0

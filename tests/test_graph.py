@@ -305,3 +305,10 @@ def test_random_level_search_of_many_alike(spark):
     g = _bipartite(1500)
     got = _in_time(40, lambda: K.random_level_search(frame(spark, zip(g.u.tolist(), g.v.tolist(), strict=True))).collect())
     assert sorted(r["label"] for r in got) == list(range(1, 1506))
+
+
+def test_grid_search_of_many_alike(spark):
+    g = _bipartite(1500)
+    e = frame(spark, zip(g.u.tolist(), g.v.tolist(), strict=True))
+    got = _in_time(40, lambda: L.grid_search(e, L.parameter_grid(spark).filter("param_id < 4")).collect())
+    assert len(got) == 4 and all(r["bandwidth"] >= r["lower_bound"] for r in got)
