@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ordograph.functions.scalars import draw
-from ordograph.plans.storage import dense_ids, numbered, table, written
+from ordograph.plans.storage import dense_ids, discard, numbered, table, written
 
 
 def edges_of(coo: DataFrame) -> DataFrame:
@@ -59,6 +59,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy("instance", F.col("src").alias("v")).agg(F.count("*").alias("degree"))
 
 
+def twins(edges: DataFrame) -> DataFrame:
+    """(instance, v, rep, size): each vertex's class of those with the same neighbours, by its smallest vertex, and how
+    many they are; vertices without neighbours stay alone. A written table.
+
+    Exchanging two such vertices maps the graph onto itself, so distances and centralities are the same for a class.
+    Neighbours are compared by their number and 128 bits of hashes, so that no list of a hub's neighbours is made.
+    """
+    every = vertices(edges)
+    bits = [F.bit_xor(F.xxhash64(F.lit(k), "dst")).alias(f"h{k}") for k in (1, 2)]
+    near = adjacency(simple(edges)).groupBy("instance", F.col("src").alias("v")).agg(F.count("*").alias("k"), *bits)
+    near = every.join(near, ["instance", "v"], "left").select("instance", "v", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("h1", "v").alias("h1"), F.coalesce("h2", F.lit(0)).alias("h2"))
+    key = ["instance", "k", "h1", "h2"]
+    near = written(near, "neighbours")
+    out = written(near.join(near.groupBy(*key).agg(F.min("v").alias("rep"), F.count("*").alias("size")), key).select("instance", "v", "rep", "size"), "twins")
+    discard(near)
+    return out
+
+
 def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Edges with both ends among chosen (instance, v)."""
     one = edges.join(chosen.select("instance", F.col("v").alias("u")), ["instance", "u"], "left_semi")

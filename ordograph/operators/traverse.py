@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ordograph.functions import kernels
-from ordograph.operators.graph import adjacency, degrees, simple, vertices
+from ordograph.operators.graph import adjacency, degrees, simple, twins, vertices
 from ordograph.plans.storage import discard, written
 
 #: Sources that a task of distances() holds beside the instance's edges.
@@ -51,11 +51,16 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return components(edges).groupBy("instance", "component").agg(F.count("*").alias("size"))
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    best = component_sizes(edges).groupBy("instance").agg(F.count("*").alias("components"), F.max(F.struct("size", -F.col("component"))).alias("m"))
+def _largest(parts: DataFrame) -> DataFrame:
+    sizes = parts.groupBy("instance", "component").agg(F.count("*").alias("size"))
+    best = sizes.groupBy("instance").agg(F.count("*").alias("components"), F.max(F.struct("size", -F.col("component"))).alias("m"))
     return best.select("instance", "components", (-F.col("m.col2")).alias("component"), F.col("m.size").alias("size"))
 
 
+def largest_component(edges: DataFrame) -> DataFrame:
+    return _largest(components(edges))
+
+
 def distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(instance, src, dst, d) for reachable pairs; a task holds one instance's edges and BLOCK sources."""
     plain = simple(edges)
@@ -78,6 +83,34 @@ def distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return dealt.groupBy("instance", "block").cogroup(copies.groupBy("of", "part")).applyInPandas(run, "instance string, src int, dst int, d int")
 
 
+def distance_counts(edges: DataFrame, classes: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(instance, rep, size, d, n): for each vertex of the class of twins() that rep names, which has size vertices, how
+    many vertices are at distance d. A written table; with sources (instance, src) their classes alone.
+
+    A task holds the edges between an instance's classes and one block of them; blocks have BLOCK classes or, where that
+    makes more of them than a few for each core, more."""
+    classes = twins(edges) if classes is None else classes
+    reps = classes.filter("v = rep").select("instance", "rep", "size")
+    roots = reps if sources is None else reps.join(sources.select("instance", F.col("src").alias("v")).join(classes, ["instance", "v"]).select("instance", "rep"), ["instance", "rep"], "left_semi")
+    most = 4 * max(8, edges.sparkSession.sparkContext.defaultParallelism)
+    n = roots.groupBy("instance").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(most)).cast("int").alias("blocks"))
+    dealt = roots.join(n, "instance").select("instance", "rep", "size", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    links = simple(edges).join(reps.select("instance", F.col("rep").alias("u"), F.col("size").alias("a")), ["instance", "u"]).join(reps.select("instance", F.col("rep").alias("v"), F.col("size").alias("b")), ["instance", "v"])
+    copies = links.join(n, "instance").select(F.col("instance").alias("of"), "u", "v", "a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+
+    def run(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"instance": [], "rep": [], "size": [], "d": [], "n": []})
+        names, where = np.unique(np.concatenate([pairs.u, pairs.v, own.rep]), return_inverse=True)
+        size = np.ones(len(names), dtype=np.int64)
+        size[where] = np.concatenate([pairs.a, pairs.b, own["size"]])
+        g = kernels.Graph(len(names), where[: len(pairs)], where[len(pairs) : 2 * len(pairs)], size)
+        at, d, count = np.array(g.level_counts(where[2 * len(pairs) :])).T
+        return pd.DataFrame({"instance": own.instance.iloc[0], "rep": own.rep.to_numpy()[at], "size": own["size"].to_numpy()[at], "d": d, "n": count})
+
+    return written(dealt.groupBy("instance", "block").cogroup(copies.groupBy("of", "part")).applyInPandas(run, "instance string, rep int, size long, d int, n long"), "counts")
+
+
 def density(edges: DataFrame) -> DataFrame:
     n = vertices(edges).groupBy("instance").agg(F.count("*").alias("nodes"))
     m = simple(edges).groupBy("instance").agg(F.count("*").alias("edges"))
@@ -106,11 +139,13 @@ def connectivity(edges: DataFrame) -> DataFrame:
 def topology(edges: DataFrame, with_connectivity: bool = False) -> DataFrame:
     """Nodes, edges, components, diameter of the largest component, density, average path length (null if
     disconnected)."""
-    d = written(distances(edges), "distances")
-    big = written(largest_component(edges), "largest")
-    inside = d.join(components(edges).select("instance", F.col("v").alias("src"), "component"), ["instance", "src"]).join(big.select("instance", "component"), ["instance", "component"], "left_semi")
+    edges = written(edges.select("instance", "u", "v").distinct(), "edges")
+    d = distance_counts(edges)
+    parts = written(components(edges), "components")
+    big = written(_largest(parts), "largest")
+    inside = d.join(parts.select("instance", F.col("v").alias("rep"), "component"), ["instance", "rep"]).join(big.select("instance", "component"), ["instance", "component"], "left_semi")
     diameter = inside.groupBy("instance").agg(F.max("d").alias("diameter"))
-    total = d.groupBy("instance").agg(F.sum("d").alias("total"))
+    total = d.groupBy("instance").agg(F.sum(F.col("size") * F.col("d") * F.col("n")).alias("total"))
     out = density(edges).join(big.select("instance", F.col("components").alias("num_comp"), F.col("size").alias("largest_comp")), "instance").join(diameter, "instance").join(total, "instance")
     out = out.withColumn("aspl", F.when(F.col("num_comp") == 1, F.try_divide(F.col("total"), F.col("nodes") * (F.col("nodes") - 1)))).drop("total")
     return out.join(connectivity(edges), "instance") if with_connectivity else out

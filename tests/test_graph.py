@@ -312,3 +312,44 @@ def test_grid_search_of_many_alike(spark):
     e = frame(spark, zip(g.u.tolist(), g.v.tolist(), strict=True))
     got = _in_time(40, lambda: L.grid_search(e, L.parameter_grid(spark).filter("param_id < 4")).collect())
     assert len(got) == 4 and all(r["bandwidth"] >= r["lower_bound"] for r in got)
+
+
+def test_topology_of_many_alike(spark):
+    g = _bipartite(6000)
+    e = frame(spark, zip(g.u.tolist(), g.v.tolist(), strict=True))
+    t = _in_time(60, lambda: T.topology(e, with_connectivity=True).first())
+    assert (t["nodes"], t["edges"], t["num_comp"], t["diameter"], t["node_conn"], t["edge_conn"]) == (6005, 29999, 1, 3, 4, 4)
+
+
+def test_connectivity_is_that_of_the_smallest_cut():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n, kinds = 8, rng.integers(0, 2, 5)
+        u, v = np.nonzero((rng.random((2, 3)) < 0.8)[kinds])
+        g = kernels.Graph(n, np.append(u, 5), np.append(v + 5, 6))
+        lap = np.diag(g.degree.astype(float))
+        lap[g.u, g.v] = lap[g.v, g.u] = -1
+        sides = [np.array([bool(k >> i & 1) for i in range(n)]) for k in range(1, 2**n - 1)]
+        assert kernels.edge_connectivity(g) == min(int((s[g.u] != s[g.v]).sum()) for s in sides)
+
+        def apart(keep, g=g):
+            both = keep[g.u] & keep[g.v]
+            rank = np.cumsum(keep) - 1
+            return len(kernels.Graph(int(keep.sum()), rank[g.u[both]], rank[g.v[both]]).parts()) > 1
+
+        cuts = [int((~s).sum()) for s in sides if apart(s)] + ([0] if apart(np.ones(n, dtype=bool)) else [])
+        assert kernels.node_connectivity(g) == min(cuts)
+        assert math.isclose(kernels.algebraic_connectivity(g), np.linalg.eigvalsh(lap)[1], abs_tol=1e-9)
+
+
+def test_distance_counts_are_those_of_distances(spark):
+    """Classes, a vertex with a loop only, several components and instances."""
+    e = frame(spark, [(1, 9), (2, 9), (3, 9), (1, 8), (2, 8), (4, 8), (5, 6), (7, 7)]).union(frame(spark, [(u + 1, v + 1) for u, v in G10], "h"))
+    classes = {(r["instance"], r["v"]): r["rep"] for r in G.twins(e).collect()}
+    assert classes["g", 2] == 1 and classes["g", 7] == 7 and classes["g", 3] == 3
+    want = {}
+    for r in T.distances(e).collect():
+        want[r["instance"], r["src"], r["d"]] = want.get((r["instance"], r["src"], r["d"]), 0) + 1
+    got = {(r["instance"], r["rep"], r["d"]): r["n"] for r in T.distance_counts(e).collect()}
+    assert {(i, v, d): got[i, classes[i, v], d] for i, v, d in want} == want
+    assert len(got) == len({(i, classes[i, v], d) for i, v, d in want})
