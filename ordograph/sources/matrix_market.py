@@ -83,7 +83,9 @@ def read_adjacency_list(spark: SparkSession, path: str) -> DataFrame:
     """(a, b): a vertex name followed by its neighbours a line."""
     text = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     t = F.split(F.trim("value"), r"\s+")
-    return text.select(F.get(t, 0).alias("a"), F.explode(F.slice(t, F.lit(2), F.greatest(F.lit(0), F.size(t) - 1))).alias("b"))
+    # the name is a column of its own before the rows are made, else each of them splits its whole line again
+    named = text.select(F.get(t, 0).alias("a"), F.slice(t, F.lit(2), F.greatest(F.lit(0), F.size(t) - 1)).alias("near"))
+    return named.select("a", F.explode("near").alias("b"))
 
 
 def with_ids(named: DataFrame) -> DataFrame:

@@ -353,3 +353,10 @@ def test_distance_counts_are_those_of_distances(spark):
     got = {(r["instance"], r["rep"], r["d"]): r["n"] for r in T.distance_counts(e).collect()}
     assert {(i, v, d): got[i, classes[i, v], d] for i, v, d in want} == want
     assert len(got) == len({(i, classes[i, v], d) for i, v, d in want})
+
+
+def test_long_lines_of_an_adjacency_list(spark, tmp_path):
+    """60,000 neighbours in a line; a split of the line for each would take minutes."""
+    (tmp_path / "l.txt").write_text("hub " + " ".join(f"v{i}" for i in range(60_000)) + "\nalone\n")
+    got = _in_time(30, lambda: M.read_adjacency_list(spark, str(tmp_path / "l.txt")).toPandas())
+    assert len(got) == 60_000 and set(got.a) == {"hub"} and got.b.nunique() == 60_000
