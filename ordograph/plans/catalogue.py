@@ -61,6 +61,10 @@ def _user(s, d):
     return G.user_graph(s, d)
 
 
+def _kept(edges):
+    return written(edges, "edges")
+
+
 def _rnd(edges):
     return B.random_labels(edges, 7)
 
@@ -369,7 +373,7 @@ def _(s, d):
 
 @query("apsp_hist", _graph(USER, APSP) + "select d, count(*) pairs from dist group by d")
 def _(s, d):
-    return T.distances(_user(s, d)).groupBy("d").agg(F.count("*").alias("pairs"))
+    return T.distance_counts(_kept(_user(s, d))).groupBy("d").agg(F.sum(F.col("size") * F.col("n")).alias("pairs"))
 
 
 @query("degree_centrality", _graph(SP, DEG) + "select v, round(degree / ((select n from n) - 1.0), 9) value from deg")

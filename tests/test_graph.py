@@ -360,3 +360,18 @@ def test_long_lines_of_an_adjacency_list(spark, tmp_path):
     (tmp_path / "l.txt").write_text("hub " + " ".join(f"v{i}" for i in range(60_000)) + "\nalone\n")
     got = _in_time(30, lambda: M.read_adjacency_list(spark, str(tmp_path / "l.txt")).toPandas())
     assert len(got) == 60_000 and set(got.a) == {"hub"} and got.b.nunique() == 60_000
+
+
+def _without_pairs(spark, monkeypatch, name):
+    """The query's rows where a row a pair is an error; 15 users linked with the same five kinds."""
+
+    def pairs(*_):
+        raise AssertionError("a row a pair")
+
+    monkeypatch.setattr(T, "distances", pairs)
+    monkeypatch.setattr(C, "distances", pairs, raising=False)
+    return sorted(map(tuple, catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_histogram_without_pairs(spark, monkeypatch):
+    assert _without_pairs(spark, monkeypatch, "apsp_hist") == [(0, 20), (1, 150), (2, 230)]
