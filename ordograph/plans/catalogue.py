@@ -363,7 +363,7 @@ def _(s, d):
 
 @query("diameter", _graph(USER, APSP) + "select max(d) diameter from dist")
 def _(s, d):
-    return T.distances(_user(s, d)).agg(F.max("d").alias("diameter"))
+    return T.distance_counts(_kept(_user(s, d))).agg(F.max("d").alias("diameter"))
 
 
 @query("aspl", _graph(USER, APSP) + "select round(sum(d) / ((select n from n) * ((select n from n) - 1.0)), 9) aspl from dist")

@@ -375,3 +375,7 @@ def _without_pairs(spark, monkeypatch, name):
 
 def test_histogram_without_pairs(spark, monkeypatch):
     assert _without_pairs(spark, monkeypatch, "apsp_hist") == [(0, 20), (1, 150), (2, 230)]
+
+
+def test_diameter_without_pairs(spark, monkeypatch):
+    assert _without_pairs(spark, monkeypatch, "diameter") == [(2,)]
