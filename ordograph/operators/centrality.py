@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ordograph.functions import kernels
-from ordograph.operators.graph import adjacency, degrees, simple, vertices
-from ordograph.operators.traverse import distances, per_instance
+from ordograph.operators.graph import adjacency, degrees, simple, twins, vertices
+from ordograph.operators.traverse import distance_counts, distances, per_instance
 from ordograph.plans.storage import discard, written
 
 REGISTRY: dict[str, tuple] = {}
@@ -49,10 +49,13 @@ def _drawn(edges: DataFrame, k: int, seed: int) -> DataFrame:
 
 def closeness(edges: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     """Reachable vertices over their distances, scaled by their share; with k, 0 for all but k drawn vertices."""
-    d = distances(edges, _drawn(edges, k, seed) if k else None)
-    got = d.groupBy("instance", F.col("src").alias("v")).agg(F.sum("d").alias("s"), (F.count("*") - 1).alias("r")).join(_sizes(edges), "instance")
+    edges = written(edges.select("instance", "u", "v").distinct(), "edges")
+    classes, drawn = twins(edges), _drawn(edges, k, seed) if k else None
+    d = distance_counts(edges, classes, drawn)
+    own = d.groupBy("instance", "rep").agg(F.sum(F.col("d") * F.col("n")).alias("s"), (F.sum("n") - 1).alias("r"))
+    got = classes.join(own, ["instance", "rep"]).join(_sizes(edges), "instance")
     got = got.select("instance", "v", F.coalesce(F.try_divide(F.col("r"), F.col("s")) * F.try_divide(F.col("r"), F.col("n") - 1), F.lit(0.0)).alias("value"))
-    return got if k is None else vertices(edges).join(got, ["instance", "v"], "left").fillna(0.0, ["value"])
+    return got if k is None else vertices(edges).join(got.join(drawn.withColumnRenamed("src", "v"), ["instance", "v"], "left_semi"), ["instance", "v"], "left").fillna(0.0, ["value"])
 
 
 def harmonic(edges: DataFrame) -> DataFrame:
