@@ -383,3 +383,7 @@ def test_diameter_without_pairs(spark, monkeypatch):
 
 def test_closeness_without_pairs(spark, monkeypatch):
     assert _without_pairs(spark, monkeypatch, "closeness") == [(v, round(19 / 33 if v <= 15 else 19 / 23, 9)) for v in range(1, 21)]
+
+
+def test_mean_distance_without_pairs(spark, monkeypatch):
+    assert _without_pairs(spark, monkeypatch, "aspl") == [(round(610 / 380, 9),)]
