@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ordograph.functions import kernels
 from ordograph.operators.graph import adjacency, degrees, simple, twins, vertices
-from ordograph.operators.traverse import distance_counts, distances, per_instance
+from ordograph.operators.traverse import distance_counts, per_instance
 from ordograph.plans.storage import discard, written
 
 REGISTRY: dict[str, tuple] = {}
@@ -59,7 +59,10 @@ def closeness(edges: DataFrame, k: int | None = None, seed: int = 42) -> DataFra
 
 
 def harmonic(edges: DataFrame) -> DataFrame:
-    return distances(edges).groupBy("instance", F.col("src").alias("v")).agg(F.coalesce(F.sum(F.when(F.col("d") > 0, 1 / F.col("d"))), F.lit(0.0)).alias("value"))
+    edges = written(edges.select("instance", "u", "v").distinct(), "edges")
+    classes = twins(edges)
+    own = distance_counts(edges, classes).groupBy("instance", "rep").agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("n") / F.col("d"))), F.lit(0.0)).alias("value"))
+    return classes.join(own, ["instance", "rep"]).select("instance", "v", "value")
 
 
 def _kernel(function):

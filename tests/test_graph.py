@@ -387,3 +387,7 @@ def test_closeness_without_pairs(spark, monkeypatch):
 
 def test_mean_distance_without_pairs(spark, monkeypatch):
     assert _without_pairs(spark, monkeypatch, "aspl") == [(round(610 / 380, 9),)]
+
+
+def test_harmonic_without_pairs(spark, monkeypatch):
+    assert _without_pairs(spark, monkeypatch, "harmonic") == [(v, 12.0 if v <= 15 else 17.0) for v in range(1, 21)]
