@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ordograph.functions import kernels
-from ordograph.operators.graph import adjacency, degrees, simple, twins, vertices
+from ordograph.operators.graph import adjacency, degrees, induced, simple, twins, vertices
 from ordograph.plans.storage import discard, written
 
 #: Sources that a task of distances() holds beside the instance's edges.
@@ -83,32 +84,61 @@ def distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return dealt.groupBy("instance", "block").cogroup(copies.groupBy("of", "part")).applyInPandas(run, "instance string, src int, dst int, d int")
 
 
+def _packed(batches):
+    """Rows (instance, sized, u, v) with u and v as bytes, four a number, one row for those of a batch that go together."""
+    for pdf in batches:
+        rows = [(*key, own.u.to_numpy("<i4").tobytes(), own.v.to_numpy("<i4").tobytes()) for key, own in pdf.groupby(["instance", "sized"])]
+        yield pd.DataFrame(rows, columns=["instance", "sized", "u", "v"])
+
+
 def distance_counts(edges: DataFrame, classes: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(instance, rep, size, d, n): for each vertex of the class of twins() that rep names, which has size vertices, how
     many vertices are at distance d. A written table; with sources (instance, src) their classes alone.
 
-    A task holds the edges between an instance's classes and one block of them; blocks have BLOCK classes or, where that
-    makes more of them than a few for each core, more."""
+    A task holds the edges between an instance's classes, some 24 bytes each, and one block of them; blocks have BLOCK
+    classes or, where that makes more of them than a few for each core, more."""
     classes = twins(edges) if classes is None else classes
     reps = classes.filter("v = rep").select("instance", "rep", "size")
     roots = reps if sources is None else reps.join(sources.select("instance", F.col("src").alias("v")).join(classes, ["instance", "v"]).select("instance", "rep"), ["instance", "rep"], "left_semi")
     most = 4 * max(8, edges.sparkSession.sparkContext.defaultParallelism)
     n = roots.groupBy("instance").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(most)).cast("int").alias("blocks"))
-    dealt = roots.join(n, "instance").select("instance", "rep", "size", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    links = simple(edges).join(reps.select("instance", F.col("rep").alias("u"), F.col("size").alias("a")), ["instance", "u"]).join(reps.select("instance", F.col("rep").alias("v"), F.col("size").alias("b")), ["instance", "v"])
-    copies = links.join(n, "instance").select(F.col("instance").alias("of"), "u", "v", "a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-
-    def run(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"instance": [], "rep": [], "size": [], "d": [], "n": []})
-        names, where = np.unique(np.concatenate([pairs.u, pairs.v, own.rep]), return_inverse=True)
-        size = np.ones(len(names), dtype=np.int64)
-        size[where] = np.concatenate([pairs.a, pairs.b, own["size"]])
-        g = kernels.Graph(len(names), where[: len(pairs)], where[len(pairs) : 2 * len(pairs)], size)
-        at, d, count = np.array(g.level_counts(where[2 * len(pairs) :])).T
-        return pd.DataFrame({"instance": own.instance.iloc[0], "rep": own.rep.to_numpy()[at], "size": own["size"].to_numpy()[at], "d": d, "n": count})
-
-    return written(dealt.groupBy("instance", "block").cogroup(copies.groupBy("of", "part")).applyInPandas(run, "instance string, rep int, size long, d int, n long"), "counts")
+    dealt = roots.join(n, "instance").select("instance", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    links = induced(simple(edges), reps.select("instance", F.col("rep").alias("v"))).select("instance", F.lit(False).alias("sized"), "u", "v")
+    both = links.union(reps.select("instance", F.lit(True), "rep", F.col("size").cast("int")))
+    packed = written(both.mapInPandas(_packed, "instance string, sized boolean, u binary, v binary"), "packed")
+    copies = packed.join(n, "instance").select(F.col("instance").alias("of"), "sized", "u", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    kept = pa.schema({"instance": pa.string(), "rep": pa.int32(), "size": pa.int64(), "d": pa.int32(), "n": pa.int64()})
+
+    def run(own: pa.Table, parts: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return kept.empty_table()
+        pairs, sizes = [], []
+        for sized, *ends in zip(parts["sized"], parts["u"], parts["v"], strict=True):
+            (sizes if sized.as_py() else pairs).append([np.frombuffer(x.as_buffer(), "<i4") for x in ends])
+        names, size = np.concatenate(sizes, axis=1)
+        order = np.argsort(names)
+        names, size = names[order], size[order].astype(np.int64)
+        for k, (u, v) in enumerate(pairs):
+            pairs[k] = np.searchsorted(names, u).astype(np.int32), np.searchsorted(names, v).astype(np.int32)
+        dst, at = kernels.arcs(len(names), pairs)
+        del pairs
+        where = np.searchsorted(names, own["rep"].to_numpy())
+        k, d, count = np.array(kernels.level_counts(dst, at, size, where)).T
+        return pa.table([pa.repeat(own["instance"][0].as_py(), len(k)), names[where[k]], size[where[k]], d.astype(np.int32), count], schema=kept)
+
+    out = written(dealt.groupBy("instance", "block").cogroup(copies.groupBy("of", "part")).applyInArrow(run, "instance string, rep int, size long, d int, n long"), "counts")
+    discard(packed)
+    return out
+
+
+def mean_distance(edges: DataFrame) -> DataFrame:
+    """(instance, aspl): mean distance of all pairs of vertices, null where some have no path or there is one vertex."""
+    return _mean(distance_counts(edges))
+
+
+def _mean(counts: DataFrame) -> DataFrame:
+    nodes, pairs, total = F.sum(F.when(F.col("d") == 0, F.col("size"))), F.sum(F.col("size") * F.col("n")), F.sum(F.col("size") * F.col("d") * F.col("n"))
+    return counts.groupBy("instance").agg(F.when(pairs == nodes * nodes, F.try_divide(total, nodes * (nodes - 1))).alias("aspl"))
 
 
 def density(edges: DataFrame) -> DataFrame:
@@ -145,9 +175,7 @@ def topology(edges: DataFrame, with_connectivity: bool = False) -> DataFrame:
     big = written(_largest(parts), "largest")
     inside = d.join(parts.select("instance", F.col("v").alias("rep"), "component"), ["instance", "rep"]).join(big.select("instance", "component"), ["instance", "component"], "left_semi")
     diameter = inside.groupBy("instance").agg(F.max("d").alias("diameter"))
-    total = d.groupBy("instance").agg(F.sum(F.col("size") * F.col("d") * F.col("n")).alias("total"))
-    out = density(edges).join(big.select("instance", F.col("components").alias("num_comp"), F.col("size").alias("largest_comp")), "instance").join(diameter, "instance").join(total, "instance")
-    out = out.withColumn("aspl", F.when(F.col("num_comp") == 1, F.try_divide(F.col("total"), F.col("nodes") * (F.col("nodes") - 1)))).drop("total")
+    out = density(edges).join(big.select("instance", F.col("components").alias("num_comp"), F.col("size").alias("largest_comp")), "instance").join(diameter, "instance").join(_mean(d), "instance")
     return out.join(connectivity(edges), "instance") if with_connectivity else out
 
 

@@ -368,7 +368,7 @@ def _(s, d):
 
 @query("aspl", _graph(USER, APSP) + "select round(sum(d) / ((select n from n) * ((select n from n) - 1.0)), 9) aspl from dist")
 def _(s, d):
-    return T.topology(_user(s, d)).select(F.round("aspl", 9).alias("aspl"))
+    return T.mean_distance(_kept(_user(s, d))).select(F.round("aspl", 9).alias("aspl"))
 
 
 @query("apsp_hist", _graph(USER, APSP) + "select d, count(*) pairs from dist group by d")

@@ -391,3 +391,63 @@ def test_mean_distance_without_pairs(spark, monkeypatch):
 
 def test_harmonic_without_pairs(spark, monkeypatch):
     assert _without_pairs(spark, monkeypatch, "harmonic") == [(v, 12.0 if v <= 15 else 17.0) for v in range(1, 21)]
+
+
+def test_level_counts_from_parts_of_the_edges(monkeypatch):
+    """Small pieces, edges in several parts, either end first; against levels()."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(kernels, "PIECE", 64)
+    for _ in range(40):
+        n, m = rng.integers(1, 150), rng.integers(0, 300)
+        g = kernels.Graph(n, rng.integers(0, n, m), rng.integers(0, n, m))
+        swap, cut = rng.random(len(g.u)) < 0.5, np.sort(rng.integers(0, len(g.u) + 1, 2))
+        parts = [np.split(np.where(swap, a, b).astype(np.int32), cut) for a, b in ((g.u, g.v), (g.v, g.u))]
+        dst, at = kernels.arcs(n, list(zip(*parts, strict=True)))
+        roots = rng.permutation(n)
+        want = {(k, d): int((g.levels(x) == d).sum()) for k, x in enumerate(roots) for d in range(int(g.levels(x).max()) + 1)}
+        assert {(k, d): c for k, d, c in kernels.level_counts(dst, at, g.size, roots)} == want
+
+
+def test_distances_of_few_alike_in_little_memory(spark, tmp_path, monkeypatch):
+    """4000 vertices linked with half of 200 others, each with its own choice: a task takes few bytes an edge."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    def measured(apply):
+        def wrapped(self, f, schema):
+            def run(own, parts):
+                import tracemalloc
+                import uuid
+
+                import pandas  # noqa: F401  not part of what is measured
+
+                tracemalloc.start()
+                try:
+                    return f(own, parts)
+                finally:
+                    (tmp_path / uuid.uuid4().hex).write_text(str(tracemalloc.get_traced_memory()[1]))
+                    tracemalloc.stop()
+
+            return apply(self, run, schema)
+
+        return wrapped
+
+    for name in ("applyInPandas", "applyInArrow"):
+        monkeypatch.setattr(PandasCogroupedOps, name, measured(getattr(PandasCogroupedOps, name)))
+    made = spark.range(4000 * 200).filter("pmod(xxhash64(id), 2) = 0")
+    e = made.select(F.lit("g").alias("instance"), F.expr("cast(id div 200 as int)").alias("u"), F.expr("cast(4000 + id % 200 as int)").alias("v"))
+    a = np.zeros((4000, 200))
+    ids = made.toPandas()["id"]
+    a[ids // 200, ids % 200] = 1
+    near, back = a @ a.T > 0, a.T @ a > 0
+    total = np.where(near, 2, 4).sum() - 2 * 4000 + np.where(back, 2, 4).sum() - 2 * 200 + 2 * np.where(a > 0, 1, 3).sum()
+    assert T.distance_counts(e).agg(F.sum(F.col("size") * F.col("d") * F.col("n"))).first()[0] == total
+    peaks = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert peaks and max(peaks) < 25e6, peaks
+
+
+def test_mean_distance_is_that_of_topology(spark):
+    e = frame(spark, G10).union(frame(spark, [*G5, (7, 8)], "h")).union(frame(spark, [(3, 3)], "one"))
+    got = {r["instance"]: r["aspl"] for r in T.mean_distance(e).collect()}
+    assert got == {"g": 2.0, "h": None, "one": None}
+    assert {r["instance"]: r["aspl"] for r in T.topology(frame(spark, G10).union(frame(spark, [*G5, (7, 8)], "h"))).collect()} == {"g": 2.0, "h": None}
