@@ -95,7 +95,7 @@ def distance_counts(edges: DataFrame, classes: DataFrame | None = None, sources:
     """(instance, rep, size, d, n): for each vertex of the class of twins() that rep names, which has size vertices, how
     many vertices are at distance d. A written table; with sources (instance, src) their classes alone.
 
-    A task holds the edges between an instance's classes, some 24 bytes each, and one block of them; blocks have BLOCK
+    A task holds the edges between an instance's classes, some 16 bytes each, and one block of them; blocks have BLOCK
     classes or, where that makes more of them than a few for each core, more."""
     classes = twins(edges) if classes is None else classes
     reps = classes.filter("v = rep").select("instance", "rep", "size")
@@ -118,10 +118,7 @@ def distance_counts(edges: DataFrame, classes: DataFrame | None = None, sources:
         names, size = np.concatenate(sizes, axis=1)
         order = np.argsort(names)
         names, size = names[order], size[order].astype(np.int64)
-        for k, (u, v) in enumerate(pairs):
-            pairs[k] = np.searchsorted(names, u).astype(np.int32), np.searchsorted(names, v).astype(np.int32)
-        dst, at = kernels.arcs(len(names), pairs)
-        del pairs
+        dst, at = kernels.arcs(names, pairs)
         where = np.searchsorted(names, own["rep"].to_numpy())
         k, d, count = np.array(kernels.level_counts(dst, at, size, where)).T
         return pa.table([pa.repeat(own["instance"][0].as_py(), len(k)), names[where[k]], size[where[k]], d.astype(np.int32), count], schema=kept)

@@ -402,7 +402,7 @@ def test_level_counts_from_parts_of_the_edges(monkeypatch):
         g = kernels.Graph(n, rng.integers(0, n, m), rng.integers(0, n, m))
         swap, cut = rng.random(len(g.u)) < 0.5, np.sort(rng.integers(0, len(g.u) + 1, 2))
         parts = [np.split(np.where(swap, a, b).astype(np.int32), cut) for a, b in ((g.u, g.v), (g.v, g.u))]
-        dst, at = kernels.arcs(n, list(zip(*parts, strict=True)))
+        dst, at = kernels.arcs(np.arange(n), list(zip(*parts, strict=True)))
         roots = rng.permutation(n)
         want = {(k, d): int((g.levels(x) == d).sum()) for k, x in enumerate(roots) for d in range(int(g.levels(x).max()) + 1)}
         assert {(k, d): c for k, d, c in kernels.level_counts(dst, at, g.size, roots)} == want
